@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rowforge.llm import op10_bpe
+from rowforge.llm import op1_topk, op9_repair, op10_bpe
 
 
 def _documents(spark, sf_dir):
@@ -15,5 +15,25 @@ def op10_byte_bpe(spark, sf_dir):
     return op10_bpe.encode_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op10_byte_bpe": op10_byte_bpe}
-ORACLE: dict[str, str] = {}
+def op1_threshold_topk(spark, sf_dir):
+    return op1_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_repair_ids(spark, sf_dir):
+    return op9_repair.token_offsets(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op1_threshold_topk": op1_threshold_topk, "op9_repair_ids": op9_repair_ids, "op10_byte_bpe": op10_byte_bpe}
+ORACLE: dict[str, str] = {
+    "op1_threshold_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+            FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
