@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rowforge.llm import op1_topk, op7_jaccard, op9_repair, op10_bpe
+from rowforge.llm import op1_topk, op4_toxicity, op7_jaccard, op8_secrets, op9_repair, op10_bpe
 
 
 def _documents(spark, sf_dir):
@@ -19,15 +19,23 @@ def op1_threshold_topk(spark, sf_dir):
     return op1_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_toxicity_grades(spark, sf_dir):
+    return op4_toxicity.grade_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_jaccard_groups(spark, sf_dir):
     return op7_jaccard.near_groups(_documents(spark, sf_dir), words=3, percent=90)
 
 
+def op8_secret_spans(spark, sf_dir):
+    return op8_secrets.find_secrets(_documents(spark, sf_dir))
+
+
 def op9_repair_ids(spark, sf_dir):
     return op9_repair.token_offsets(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_threshold_topk": op1_threshold_topk, "op7_jaccard_groups": op7_jaccard_groups, "op9_repair_ids": op9_repair_ids, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_threshold_topk": op1_threshold_topk, "op4_toxicity_grades": op4_toxicity_grades, "op7_jaccard_groups": op7_jaccard_groups, "op8_secret_spans": op8_secret_spans, "op9_repair_ids": op9_repair_ids, "op10_byte_bpe": op10_byte_bpe}
 ORACLE: dict[str, str] = {
     "op1_threshold_topk": """
         WITH v AS (

@@ -19,9 +19,12 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+_OWN = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SIGNS = np.ones(256, bool)  # all ASCII but letters and digits
+_SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _MULT = _rng.integers(1, 1 << 63, 64, dtype=np.int64).astype(np.uint64) | _U(1)
 _powers: dict[str, np.ndarray] = {}
 
@@ -40,6 +43,13 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hashes of the byte spans [start, end) of a block; fold: A-Z count as a-z."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_BYTE if fold else _OWN)[data] * _power_table(_BASE, len(data))[: len(data)], out=total[1:])
+    return mix64((total[ends] - total[starts]) * _power_table(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The usual 64-bit finaliser: every output bit depends on every input bit."""
     x = x ^ (x >> _U(30))
@@ -70,12 +80,12 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         row = past
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a block, and each text's offsets into them."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a block, and each text's offsets into them; apart: the bytes between words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first = inside.copy()
@@ -83,10 +93,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power_table(_BASE, n)[:n], out=total[1:])
-    hashes = mix64((total[ends] - total[starts]) * _power_table(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -111,3 +118,12 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield mix64(short)
             else:
                 yield np.zeros(0, np.uint64)
+
+
+def word_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """One sorted array of distinct word hashes a row; words are runs of ASCII letters, digits and other non-ASCII bytes."""
+    for row, past, data, offsets in text_blocks(column):
+        w, at = word_hashes(data, offsets, _SIGNS)
+        for d in range(past - row):
+            own = np.sort(w[at[d] : at[d + 1]])
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) > 1 else own
