@@ -35,7 +35,7 @@ from rowforge.llm.grouping import key_runs
 from rowforge.llm.wordhash import mix64, shingle_sets
 from rowforge.sources.staging import stage
 
-FILTER_BITS, BLOCK_SETS, BLOCK_ELEMENTS, WIDE = 27, 64, 1 << 17, 32
+FILTER_BITS, BLOCK_SETS, BLOCK_ELEMENTS, WIDE = 27, 96, 1 << 19, 32
 _U = np.uint64
 
 
