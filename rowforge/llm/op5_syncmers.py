@@ -32,15 +32,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _least_of_runs(values: Column, n: Column, width: int) -> Column:
-    """Minima of all `width` neighbours in an array of n values: runs are doubled, then two runs that overlap are taken."""
-    have, runs = 1, values
+def _least_of_runs(values: Column, width: int) -> Column:
+    """Minima of all `width` neighbours in an array: runs are doubled, then two runs that overlap are taken."""
+    def paired(apart: int) -> Callable[[Column], Column]:
+        return lambda r: F.zip_with(F.slice(r, 1, F.size(r) - apart), F.slice(r, apart + 1, F.size(r) - apart), lambda a, b: F.least(a, b))
+
+    have = 1
     while have * 2 <= width:
-        runs = _let(runs, lambda r, h=have: F.zip_with(F.slice(r, 1, F.size(r) - h), F.slice(r, h + 1, F.size(r) - h), F.least))
+        values = _let(values, paired(have))
         have *= 2
-    if have < width:
-        runs = _let(runs, lambda r, h=width - have: F.zip_with(F.slice(r, 1, F.size(r) - h), F.slice(r, h + 1, F.size(r) - h), F.least))
-    return runs
+    return _let(values, paired(width - have)) if have < width else values
 
 
 def fingerprint(text: Column, k: int = K_WORDS, s: int = S_WORDS) -> Column:
@@ -55,7 +56,7 @@ def fingerprint(text: Column, k: int = K_WORDS, s: int = S_WORDS) -> Column:
         def at(least: Column, i: Column) -> Column:
             return F.when((least == F.get(runs, i)) | (least == F.get(runs, i + last)), F.hash(*[F.get(runs, i + p) for p in parts]))
 
-        return F.array_distinct(F.filter(F.transform(_least_of_runs(runs, F.size(runs), last + 1), at), lambda a: a.isNotNull()))
+        return F.array_distinct(F.filter(F.transform(_least_of_runs(runs, last + 1), at), lambda a: a.isNotNull()))
 
     def of_words(words: Column) -> Column:
         def shifted(j: int) -> Column:

@@ -54,7 +54,7 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     links = messages.select("conv_id", "node", "parent")
     parents = links.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
     known = links.select("conv_id", F.col("node").alias("far"))
-    jump = stage(links.where("parent is not null").join(known, (links["conv_id"] == known["conv_id"]) & (links["parent"] == known["far"])).select(links["conv_id"], links["node"], known["far"]))
+    jump = stage(links.where("parent is not null").select("conv_id", "node", F.col("parent").alias("far")).join(known, ["conv_id", "far"], "left_semi").select("conv_id", "node", "far"))
     paths = stage(links.join(parents, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above")))
     for k in range(MOST_ROUNDS):
         if jump.isEmpty():
