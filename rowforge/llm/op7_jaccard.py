@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.llm.components import components
@@ -308,7 +308,11 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, filter_
     Rows without n-grams stay, but for repeated rows; rows with a null doc_id stay unless a row with an id has their text or group."""
     rows = _grouped(docs, words, percent, filter_bits, block_sets, block_elements)
     first = rows.groupBy("component_id", F.when(F.col("n") == 0, F.col("mark")).alias("lone"), F.when(F.col("component_id").isNull(), F.col("mark")).alias("nameless"))
-    kept = first.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.mark").alias("_mark"))
-    keyed = docs.withColumn("_mark_here", F.xxhash64(docs["text"]))
-    found = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_mark_here"] == kept["_mark"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_mark_here"]).drop("_mark_here")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark"))
+    kept = first.agg(least.alias("k")).select(_key(F.col("k.doc_id")).alias("_key"), F.col("k.mark").alias("_text_key"))
+    keyed = docs.withColumns({"_key": _key(docs["doc_id"].cast("long")), "_text_key": F.xxhash64(docs["text"])})
+    return keyed.join(kept, ["_key", "_text_key"], "left_semi").dropDuplicates(["_key", "_text_key"]).select(*docs.columns)
+
+
+def _key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id, F.lit(-(1 << 63)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rowforge.llm import op1_topk, op3_kdtree, op4_toxicity, op5_syncmers, op6_chat, op7_jaccard, op8_secrets, op9_repair, op10_bpe
+from rowforge.llm import op1_topk, op2_mixing, op3_kdtree, op4_toxicity, op5_syncmers, op6_chat, op7_jaccard, op8_secrets, op9_repair, op10_bpe
 
 
 def _documents(spark, sf_dir):
@@ -19,6 +19,11 @@ def op1_threshold_topk(spark, sf_dir):
     return op1_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_mixing_rates(spark, sf_dir):
+    labelled = op2_mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return op2_mixing.mixing_rates(_documents(spark, sf_dir), labelled, [0.88, 0.08, 0.04])
+
+
 def op3_kd_shards(spark, sf_dir):
     return op3_kdtree.kd_shards(_documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op9_repair_ids(spark, sf_dir):
     return op9_repair.token_offsets(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_threshold_topk": op1_threshold_topk, "op3_kd_shards": op3_kd_shards, "op4_toxicity_grades": op4_toxicity_grades, "op5_syncmer_fingerprints": op5_syncmer_fingerprints, "op6_chat_paths": op6_chat_paths, "op7_jaccard_groups": op7_jaccard_groups, "op8_secret_spans": op8_secret_spans, "op9_repair_ids": op9_repair_ids, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_threshold_topk": op1_threshold_topk, "op2_mixing_rates": op2_mixing_rates, "op3_kd_shards": op3_kd_shards, "op4_toxicity_grades": op4_toxicity_grades, "op5_syncmer_fingerprints": op5_syncmer_fingerprints, "op6_chat_paths": op6_chat_paths, "op7_jaccard_groups": op7_jaccard_groups, "op8_secret_spans": op8_secret_spans, "op9_repair_ids": op9_repair_ids, "op10_byte_bpe": op10_byte_bpe}
 ORACLE: dict[str, str] = {
     "op6_chat_paths": r"""
         WITH said AS (
