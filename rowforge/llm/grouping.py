@@ -1,4 +1,4 @@
-"""Runs of equal keys in a sorted stream of Arrow batches, without a pandas group for each."""
+"""Arrow batches: their size, and runs of equal keys in a sorted stream of them, without a pandas group for each."""
 
 from __future__ import annotations
 
@@ -6,6 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+
+def bound_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Let Arrow batches hold `rows` rows at most from now on in the session of df.
+
+    A batch is held by the JVM and by Python at once, and whole texts are long: the default of 10,000 rows can take
+    hundreds of MB beside the heap.  A lower setting of the session is kept."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
 
 
 def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

@@ -24,6 +24,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from rowforge.llm.grouping import bound_batches
+
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
 
 
@@ -127,5 +129,6 @@ def _mapped(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str
                     names=[id_col, *(name for name, _, _ in fields)],
                 )
 
+    bound_batches(docs)
     source = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].alias("text"))
     return source.mapInArrow(run, f"`{id_col}` long, " + ", ".join(f"{name} {kind}" for name, kind, _ in fields))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from rowforge.llm.grouping import bound_batches
 from rowforge.llm.op4_toxicity import training_sets
 from rowforge.llm.wordhash import text_blocks, word_hashes, word_sets
 from rowforge.sources.staging import release, stage
@@ -98,8 +99,9 @@ def fit_domains(domains: np.ndarray, sets: list[np.ndarray], n_domains: int, max
     return DomainModel(words[chosen], w, bias)
 
 
-def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """All columns of docs, _tokens (words of the whole text) and _p (posteriors)."""
+def memberships(docs: DataFrame, model: DomainModel, mix: Mixture | None = None) -> DataFrame:
+    """All columns of docs, _tokens (words of the whole text) and _p (posteriors); with mix, _rate as well."""
+    bound_batches(docs)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +110,11 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
             p = model.posteriors(list(word_sets(text)))
             n = np.concatenate([np.zeros(0, np.int64), *(np.diff(word_hashes(data, offsets)[1]) for _, _, data, offsets in text_blocks(text))])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), lists], names=[*batch.schema.names, "_tokens", "_p"])
+            rate = [] if mix is None else [pa.array(mix.rates(p * n[:, None]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), lists, *rate], names=[*batch.schema.names, "_tokens", "_p", *["_rate"] * len(rate)])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_tokens", LongType()), StructField("_p", ArrayType(DoubleType()))]))
+    more = [StructField("_tokens", LongType()), StructField("_p", ArrayType(DoubleType())), *([] if mix is None else [StructField("_rate", DoubleType())])]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
 @dataclass
@@ -178,6 +182,7 @@ def fit_rates(rows: DataFrame, targets: list[float], budget: float, low: float =
 
 
 def _with_rates(rows: DataFrame, mix: Mixture, keep: list[str]) -> DataFrame:
+    """Columns to keep, _tokens, _p and _rate of staged memberships."""
     d = len(mix.targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,5 +217,5 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: list[float], bu
     rows = stage(memberships(docs, model).drop("text"))
     mix = fit_rates(rows, targets, budget, low, high)
     release(rows)
-    counted = _with_rates(memberships(docs, model), mix, names).withColumn("_copies", _copies())
+    counted = memberships(docs, model, mix).withColumn("_copies", _copies())
     return counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.llm.grouping import bound_batches
 from rowforge.llm.wordhash import word_sets
 
 TRAIN_ROWS, MAX_FEATURES, GRADES = 12_000, 2_000, 3
@@ -116,6 +117,7 @@ def fit(grades: np.ndarray, sets: list[np.ndarray], n_grades: int = GRADES, max_
 
 def training_sets(docs: DataFrame, graded: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, list[np.ndarray]]:
     """Grades and word sets of at most train_rows labelled documents; `graded` is cut to that many before it is broadcast."""
+    bound_batches(docs)
     some = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
 
 def score(docs: DataFrame, model: OrdinalModel, cutoff: float = 0.5) -> DataFrame:
     """All columns of docs, and _p1, _p2 (P of grade 1, 2 or more), _severity (expected grade), _toxic (p1 >= cutoff)."""
+    bound_batches(docs)
     names = docs.columns
     schema = docs.select(*[docs[c] for c in names])
 

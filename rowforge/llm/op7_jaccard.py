@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.llm.components import components
-from rowforge.llm.grouping import key_runs
+from rowforge.llm.grouping import bound_batches, key_runs
 from rowforge.llm.wordhash import mix64, shingle_sets
 from rowforge.sources.staging import stage
 
@@ -270,6 +270,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, filter_bits: int, block_
     """doc_id, mark (a hash of the text), n and component_id of every row."""
     spark = docs.sparkSession
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("mark"))
+    bound_batches(docs)
     width, repeated, wide = frequency_filters(source, words, filter_bits)
     repeated, wide = spark.sparkContext.broadcast(repeated), spark.sparkContext.broadcast(wide)
     rows = stage(source.mapInArrow(_sets(words, percent, width, repeated, wide), "doc_id long, mark long, n int, sid long, keys array<long>, elements binary"))

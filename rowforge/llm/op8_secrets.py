@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from rowforge.llm.grouping import bound_batches
 from rowforge.sources.staging import stage
 
 KINDS = ("assign", "access", "hex", "generic")
@@ -87,6 +88,7 @@ def scan(docs: DataFrame, repository: Column, owner: Column, keep: list[str] | N
     marks = [F.monotonically_increasing_id().alias("_row"), F.xxhash64(repository).alias("_repo"), F.xxhash64(owner).alias("_owner")]
     kept = docs.columns if keep is None else keep
     source = docs.select(*[F.col(c).cast("long").alias(c) if keep and c == "doc_id" else F.col(c) for c in kept], *marks, *([F.col("text")] if "text" not in kept else []))
+    bound_batches(docs)
     found = source.mapInArrow(_scan(source.columns.index("text")), StructType([*source.schema.fields, *_FOUND]))
     return stage(found if keep is None else found.drop("text"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from rowforge.llm import op1_topk, op2_mixing, op3_kdtree, op4_toxicity, op5_syncmers, op6_chat, op7_jaccard, op8_secrets, op9_repair, op10_bpe
 
@@ -39,7 +40,7 @@ def op5_syncmer_fingerprints(spark, sf_dir):
 def op6_chat_paths(spark, sf_dir):
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     return op6_chat.conversation_digests(said.unionByName(more))
 
 
