@@ -62,7 +62,7 @@ def keyed_rows(docs: DataFrame, shards: int, hot: float = HOT) -> tuple[DataFram
     names = [f"x{k}" for k in range(len(dims))]
     total = own.agg(F.sum("size")).first()[0] or 0
     groups = own.groupBy("copy").agg(F.count("*").alias("n"), F.sum("size").alias("own"), F.min(F.struct("doc_id", *names)).alias("one")).where("n > 1")
-    groups = groups.where(F.col("own") <= hot * total / shards).select("copy", "one")
+    groups = stage(groups.where(F.col("own") <= hot * total / shards).select("copy", "one"))  # so that the join deals both sides out anew, and can split a hot one
     rows = own.join(groups, "copy", "left")
     held = F.col("one").isNotNull()
     rows = rows.select("doc_id", "size", "text_crc32", *[F.when(held, F.col(f"one.{x}")).otherwise(F.col(x)).alias(x) for x in names], F.shiftrightunsigned(F.when(held, F.xxhash64("copy", F.lit(7))).otherwise(F.xxhash64("doc_id", "copy")), 2).alias("h"))
