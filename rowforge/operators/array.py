@@ -254,10 +254,19 @@ class Array(np.lib.mixins.NDArrayOperatorsMixin):
         """(chunk, n): how many rows each chunk of `chunk_rows` holds."""
         return self.densified().rows.groupBy(F.floor(F.col("i") / chunk_rows).cast("bigint").alias("chunk")).agg(F.count("*").alias("n"))
 
-    def to_zarr(self, path: str, chunks=None, ncopies: int = 1, compressor: str | None = None) -> None:
+    def to_zarr(self, store, chunks=None, ncopies: int = 1, compressor: str | None = None) -> None:
         from rowforge.sources import zarr
 
-        zarr.write(self, path, (chunks or self.chunks)[0], ncopies, compressor)
+        zarr.write(self, store, (chunks or self.chunks)[0], ncopies, compressor)
+
+    def to_zarr_gcs(self, gcs_path: str, chunks, gcs_project: str, gcs_token: str = "cloud", ncopies: int = 1) -> None:
+        from rowforge.sources import zarr
+
+        self.to_zarr(zarr.gcs_store(gcs_path, gcs_project, gcs_token), chunks, ncopies)
+
+    def explain(self, mode: str = "formatted") -> None:
+        """Print the plan that makes the array."""
+        self.to_df().explain(mode)
 
     def to_parquet(self, path: str) -> None:
         """(i, v) or (i, x) as Parquet, sorted by i in each file."""

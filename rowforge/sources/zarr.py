@@ -1,7 +1,8 @@
 """Zarr v2 directory stores of row chunks: a Spark data source that reads them, and a writer.
 
 A chunk holds `chunks[0]` rows of all columns; it is one partition when read and one file when written.  Chunks are
-raw or under zlib or gzip; other compressors raise.  Stores are read and written as local or mounted paths."""
+raw or under zlib or gzip; other compressors raise.  A store is a local or mounted path, or any mapping of names to
+bytes that can be pickled and reaches one place from everywhere, as object-store mappings do."""
 
 from __future__ import annotations
 
@@ -33,10 +34,52 @@ def local_path(path: str) -> str:
     return path
 
 
-def metadata(path: str) -> dict:
+class Folder:
+    """A store in a folder: names to bytes.  Files appear whole, by a rename."""
+
+    def __init__(self, path: str):
+        self.root = local_path(path)
+
+    def get(self, name: str) -> bytes | None:
+        try:
+            with open(os.path.join(self.root, name), "rb") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+
+    def __setitem__(self, name: str, data: bytes) -> None:
+        target = os.path.join(self.root, name)
+        part = f"{target}.{uuid.uuid4().hex}.part"
+        with open(part, "wb") as f:
+            f.write(data)
+        os.replace(part, target)
+
+    def clear(self) -> None:
+        if os.path.exists(self.root):
+            if os.listdir(self.root) and not os.path.exists(os.path.join(self.root, ".zarray")):
+                raise ValueError(f"{self.root} holds something else than a Zarr array")
+            shutil.rmtree(self.root)
+        os.makedirs(self.root)
+
+
+def opened(store):
+    """A path's folder, or the mapping itself."""
+    return Folder(store) if isinstance(store, str) else store
+
+
+def gcs_store(path: str, project: str, token: str = "cloud"):
+    """A mapping of a Google Cloud Storage prefix; needs gcsfs."""
+    import gcsfs
+
+    return gcsfs.mapping.GCSMap(path, gcs=gcsfs.GCSFileSystem(project, token=token))
+
+
+def metadata(store) -> dict:
     """The store's .zarray: shape, chunks, dtype, compressor, fill_value, order."""
-    with open(os.path.join(local_path(path), ".zarray")) as f:
-        found = json.load(f)
+    data = opened(store).get(".zarray")
+    if data is None:
+        raise FileNotFoundError(f"{store}: no .zarray")
+    found = json.loads(data)
     if found["zarr_format"] != 2 or found.get("filters"):
         raise ValueError("only Zarr format 2 without filters is supported")
     if (found["compressor"] or {"id": "zlib"})["id"] not in ("zlib", "gzip"):
@@ -49,15 +92,13 @@ def _fill(meta: dict) -> float:
     return {"NaN": np.nan, "Infinity": np.inf, "-Infinity": -np.inf, None: 0}.get(value, value) if not isinstance(value, (int, float)) else value
 
 
-def read_chunk(path: str, meta: dict, *index: int) -> np.ndarray:
-    """One chunk, cut at the array's edges; a missing file is the fill value."""
+def read_chunk(store, meta: dict, *index: int) -> np.ndarray:
+    """One chunk, cut at the array's edges; a missing one is the fill value."""
     shape, chunks = meta["shape"], meta["chunks"]
     inside = tuple(slice(0, max(0, min(c, n - c * k))) for k, c, n in zip(index, chunks, shape, strict=True))
-    file = os.path.join(local_path(path), meta.get("dimension_separator", ".").join(map(str, index)))
-    if not os.path.exists(file):
+    data = opened(store).get(meta.get("dimension_separator", ".").join(map(str, index)))
+    if data is None:
         return np.full(chunks, _fill(meta), meta["dtype"])[inside]
-    with open(file, "rb") as f:
-        data = f.read()
     if meta["compressor"]:
         data = zlib.decompress(data) if meta["compressor"]["id"] == "zlib" else gzip.decompress(data)
     return np.frombuffer(data, meta["dtype"]).reshape(chunks, order=meta["order"])[inside]
@@ -71,8 +112,9 @@ class ZarrPartition(InputPartition):
 class ZarrReader(DataSourceReader):
     """Options: path; columns (comma-joined positions: only those are sent on); row_start, row_stop (other chunks are not opened)."""
 
-    def __init__(self, options: dict):
-        self.path, self.meta = options["path"], metadata(options["path"])
+    def __init__(self, options: dict, store=None):
+        self.path = options["path"] if store is None else store
+        self.meta = metadata(self.path)
         self.columns = [int(c) for c in options["columns"].split(",")] if options.get("columns") else None
         n = self.meta["shape"][0]
         self.start, self.stop = int(options.get("row_start", 0)), min(n, int(options.get("row_stop", n)))
@@ -122,18 +164,27 @@ class ZarrSource(DataSource):
         return ZarrReader(self.options)
 
 
-def from_zarr(spark: SparkSession, path: str, columns: list[int] | None = None, row_start: int = 0, row_stop: int | None = None):
+def from_zarr(spark: SparkSession, store, columns: list[int] | None = None, row_start: int = 0, row_stop: int | None = None):
     """An array of a store, or of some of its columns and rows."""
     from rowforge.operators.array import from_rows
 
-    spark.dataSource.register(ZarrSource)
-    meta, source = metadata(path), spark.read.format("zarr")
+    meta = metadata(store)
     n = meta["shape"][0]
     stop = n if row_stop is None else min(n, row_stop)
-    source = source.option("row_start", row_start).option("row_stop", stop)
-    if columns is not None:
-        source = source.option("columns", ",".join(map(str, columns)))
-    df = source.load(path)
+    options = {"row_start": row_start, "row_stop": stop} | ({} if columns is None else {"columns": ",".join(map(str, columns))})
+    if isinstance(store, str):
+        spark.dataSource.register(ZarrSource)
+        df = spark.read.format("zarr").options(**options).load(store)
+    else:
+        reader, kind = ZarrReader(options, store), spark_type(meta["dtype"])
+        chunks = [p.chunk for p in reader.partitions()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    yield from reader.read(ZarrPartition(k))
+
+        df = spark.range(chunks[0], chunks[-1] + 1, 1, len(chunks)).mapInArrow(run, f"i bigint, v array<{kind}>" if len(meta["shape"]) == 2 else f"i bigint, x {kind}")
     if row_start:
         df = df.withColumn("i", F.col("i") - F.lit(row_start))
     width = None if len(meta["shape"]) == 1 else (meta["shape"][1] if columns is None else len(columns))
@@ -149,31 +200,26 @@ def _file(values: np.ndarray, chunk: tuple, dtype: np.dtype, compressor: str | N
     return data if compressor is None else zlib.compress(data, 1) if compressor == "zlib" else gzip.compress(data, 1)
 
 
-def write(array, path: str, chunk_rows: int, ncopies: int = 1, compressor: str | None = None) -> None:
+def write(array, store, chunk_rows: int, ncopies: int = 1, compressor: str | None = None) -> None:
     """Store an array, tiled `ncopies` times downwards, in chunks of chunk_rows rows.
 
-    Each task writes whole chunk files under another name and renames them, so a task that runs twice does no harm."""
+    Each task writes whole chunks, so a task that runs twice does no harm."""
     if compressor not in (None, "zlib", "gzip"):
         raise ValueError(f"compressor {compressor} is not available here")
-    array, root = array.densified(), local_path(path)
+    array, store = array.densified(), opened(store)
     n, dtype = len(array), array.dtype.newbyteorder("<") if array.dtype.itemsize > 1 else array.dtype
     shape = (n * ncopies,) if array.ndim == 1 else (n * ncopies, array.width)
     chunk = (chunk_rows, *shape[1:])
-    if os.path.exists(root):
-        if os.listdir(root) and not os.path.exists(os.path.join(root, ".zarray")):
-            raise ValueError(f"{path} holds something else than a Zarr array")
-        shutil.rmtree(root)
-    os.makedirs(root)
+    store.clear()
     meta = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunk), "dtype": dtype.str, "compressor": compressor and {"id": compressor, "level": 1}, "fill_value": None if dtype.kind == "b" else 0, "order": "C", "filters": None}
-    with open(os.path.join(root, ".zarray"), "w") as f:
-        json.dump(meta, f)
+    store[".zarray"] = json.dumps(meta).encode()
     df, value = array.to_df(), "v" if array.ndim == 2 else "x"
     if ncopies > 1:
         df = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(ncopies - 1)))).select((F.col("i") + F.col("_copy") * F.lit(n)).alias("i"), value)
-    _write_chunks(df, root, chunk, dtype, compressor, max(1, -(-shape[0] // chunk_rows)))
+    _write_chunks(df, store, chunk, dtype, compressor, max(1, -(-shape[0] // chunk_rows)))
 
 
-def _write_chunks(df: DataFrame, root: str, chunk: tuple, dtype: np.dtype, compressor: str | None, chunks: int) -> None:
+def _write_chunks(df: DataFrame, store, chunk: tuple, dtype: np.dtype, compressor: str | None, chunks: int) -> None:
     wide = len(chunk) == 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +227,7 @@ def _write_chunks(df: DataFrame, root: str, chunk: tuple, dtype: np.dtype, compr
 
         def flush() -> None:
             values = np.concatenate(held) if len(held) > 1 else held[0]
-            target = os.path.join(root, f"{key}.0" if wide else str(key))
-            part = f"{target}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
-                f.write(_file(values.astype(dtype), chunk, dtype, compressor))
-            os.replace(part, target)
+            store[f"{key}.0" if wide else str(key)] = _file(values.astype(dtype), chunk, dtype, compressor)
 
         for batch in batches:
             keys = np.asarray(batch.column(0))

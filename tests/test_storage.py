@@ -46,6 +46,40 @@ def test_copies_vectors_and_errors(spark, tmp_path):
         rf.from_ndarray(spark, values).to_zarr(str(tmp_path / "other"), (2, 2))
 
 
+class Shared(dict):
+    """A mapping over a folder, as object stores give."""
+
+    def __init__(self, root):
+        super().__init__()
+        self.root = root
+
+    def __reduce__(self):
+        return Shared, (self.root,)
+
+    def get(self, name, default=None):
+        path = os.path.join(self.root, name)
+        return open(path, "rb").read() if os.path.exists(path) else default
+
+    def __setitem__(self, name, data):
+        with open(os.path.join(self.root, name), "wb") as f:
+            f.write(data)
+
+    def clear(self):
+        for name in os.listdir(self.root):
+            os.remove(os.path.join(self.root, name))
+
+
+def test_mapping_store(spark, tmp_path):
+    store, values = Shared(str(tmp_path)), np.arange(14.0).reshape(7, 2)
+    rf.from_ndarray(spark, values).to_zarr(store, (3, 2), ncopies=2)
+    back = rf.from_zarr(spark, store)
+    assert_array_equal(back.asndarray(), np.vstack([values] * 2))
+    assert_array_equal(rf.from_zarr(spark, store, columns=[1], row_start=4, row_stop=9).asndarray(), np.vstack([values] * 2)[4:9, 1:])
+    with pytest.raises(ImportError):
+        back.to_zarr_gcs("bucket/a", (3, 2), "project")
+    back.explain()
+
+
 @pytest.mark.parametrize("n,chunk,want", [(12, 5, [5, 5, 2]), (12, 2, [2] * 6), (12, 6, [6, 6])])
 def test_chunk_sizes(spark, n, chunk, want):
     x = rf.from_ndarray(spark, np.arange(n)[:, None], (5, 1))
