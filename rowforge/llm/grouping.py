@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,12 @@ def bound_batches(df: DataFrame, rows: int = 1000) -> None:
         conf.set(key, str(rows))
 
 
+def shielded(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its other columns under names that clash with nothing, and what gives them their own names back."""
+    names = docs.columns
+    return docs.toDF(*[c if c in needed else f"_extra{k}" for k, c in enumerate(names)]), lambda out: out.toDF(*names)
+
+
 def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """(key, rows) of each run of equal integer keys; a run may span batches."""
     key, held = None, []

@@ -86,9 +86,20 @@ def encode_text(text: str | None, enc: tiktoken.Encoding, pattern: regex.Pattern
     if not text:
         return np.zeros(0, "<u4")
     if len(text) <= chunk + overlap:
-        return np.array(enc.encode_ordinary(text), "<u4")
+        return _whole(text, enc, pattern)
     cuts = [*chunk_cuts(text, pattern, chunk, overlap), len(text)]
-    return np.concatenate([np.array(enc.encode_ordinary(text[a:b]), "<u4") for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    return np.concatenate([_whole(text[a:b], enc, pattern) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _whole(text: str, enc: tiktoken.Encoding, pattern: regex.Pattern) -> np.ndarray:
+    """Ids of a text or piece.  The library's own pattern engine gives up on a run of a million spaces; then this one's
+    matches are encoded one by one."""
+    try:
+        return np.array(enc.encode_ordinary(text), "<u4")
+    except (KeyboardInterrupt, SystemExit, MemoryError):
+        raise
+    except BaseException:  # a panic of the library is no Exception
+        return np.array([i for m in pattern.finditer(text) for i in enc._encode_single_piece(m[0])], "<u4")
 
 
 def decode_ids(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> bytes:

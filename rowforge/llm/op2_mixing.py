@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from rowforge.llm.grouping import bound_batches
+from rowforge.llm.grouping import bound_batches, shielded
 from rowforge.llm.op4_toxicity import training_sets
 from rowforge.llm.wordhash import text_blocks, word_hashes, word_sets
 from rowforge.sources.staging import release, stage
@@ -212,10 +212,11 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: list[float], bud
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, targets: list[float], budget: float = 1.0, low: float = 0.0, high: float = 4.0, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs with each row as many times as its copies say."""
+    docs, renamed = shielded(docs, "doc_id", "text")
     names = docs.columns
     model = fit_domains(*training_sets(docs, labelled, train_rows), len(targets))
     rows = stage(memberships(docs, model).drop("text"))
     mix = fit_rates(rows, targets, budget, low, high)
     release(rows)
     counted = memberships(docs, model, mix).withColumn("_copies", _copies())
-    return counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    return renamed(counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names))

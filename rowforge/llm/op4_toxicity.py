@@ -10,7 +10,8 @@ The model is fitted on at most `train_rows` labelled documents, those least by a
 bound); it has at most `max_features` weights, so what is sent to executors is bounded.  Every document is then
 scored over its whole text in one map without a shuffle.
 
-Defined cases: null or empty texts have no feature and get the base rate; labels that are null are ignored, and
+Defined cases: null or empty texts have no feature and get the base rate, and no text without a telling word is
+called toxic, whatever that rate; labels that are null are ignored, and
 of several labels of a document the most severe counts; without labels, or with one grade only, the thresholds
 are those of the smoothed base rates; repeated rows are scored each.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.grouping import bound_batches
+from rowforge.llm.grouping import bound_batches, shielded
 from rowforge.llm.wordhash import word_sets
 
 TRAIN_ROWS, MAX_FEATURES, GRADES = 12_000, 2_000, 3
@@ -41,14 +42,19 @@ class OrdinalModel:
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
         """w.x of each set of word hashes, summed set by set: the same set scores the same anywhere."""
+        return self.told(sets)[0]
+
+    def told(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and how many telling words each set has."""
         sizes = np.array([len(s) for s in sets], np.int64)
         if not len(self.hashes) or not sizes.sum():
-            return np.zeros(len(sets))
+            return np.zeros(len(sets)), np.zeros(len(sets), np.int64)
         flat = np.concatenate(sets)
         at = np.minimum(np.searchsorted(self.hashes, flat), len(self.hashes) - 1)
         hit = self.hashes[at] == flat
         rows = np.repeat(np.arange(len(sets)), sizes)[hit]
-        return np.bincount(rows, self.weights[at[hit]], len(sets)) / np.maximum(1, np.bincount(rows, minlength=len(sets)))
+        n = np.bincount(rows, minlength=len(sets))
+        return np.bincount(rows, self.weights[at[hit]], len(sets)) / np.maximum(1, n), n
 
     def exceed(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ... in columns."""
@@ -143,8 +149,9 @@ def score(docs: DataFrame, model: OrdinalModel, cutoff: float = 0.5) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.exceed(model.scores(list(word_sets(batch.column(batch.schema.get_field_index("text"))))))
-            extra = [pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p.sum(1)), pa.array(p[:, 0] >= cutoff)]
+            scores, n = model.told(list(word_sets(batch.column(batch.schema.get_field_index("text")))))
+            p = model.exceed(scores)
+            extra = [pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p.sum(1)), pa.array((p[:, 0] >= cutoff) & (n > 0))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "_p1", "_p2", "_severity", "_toxic"])
 
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
@@ -163,4 +170,5 @@ def grade_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cutoff: float = 0.5) -> DataFrame:
     """The rows that are not toxic, with the columns of docs."""
-    return score(docs, train(docs, labels, train_rows), cutoff).where("not _toxic").drop("_p1", "_p2", "_severity", "_toxic")
+    docs, named = shielded(docs, "doc_id", "text")
+    return named(score(docs, train(docs, labels, train_rows), cutoff).where("not _toxic").drop("_p1", "_p2", "_severity", "_toxic"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.llm.components import components
-from rowforge.llm.grouping import bound_batches, key_runs
+from rowforge.llm.grouping import bound_batches, key_runs, shielded
 from rowforge.llm.wordhash import mix64, shingle_sets
 from rowforge.sources.staging import stage
 
@@ -307,12 +307,13 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, filter_
     """One row of each group, the one with the least doc_id (then text hash), with all of its columns.
 
     Rows without n-grams stay, but for repeated rows; rows with a null doc_id stay unless a row with an id has their text or group."""
+    docs, renamed = shielded(docs, "doc_id", "text")
     rows = _grouped(docs, words, percent, filter_bits, block_sets, block_elements)
     first = rows.groupBy("component_id", F.when(F.col("n") == 0, F.col("mark")).alias("lone"), F.when(F.col("component_id").isNull(), F.col("mark")).alias("nameless"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark"))
     kept = first.agg(least.alias("k")).select(_key(F.col("k.doc_id")).alias("_key"), F.col("k.mark").alias("_text_key"))
     keyed = docs.withColumns({"_key": _key(docs["doc_id"].cast("long")), "_text_key": F.xxhash64(docs["text"])})
-    return keyed.join(kept, ["_key", "_text_key"], "left_semi").dropDuplicates(["_key", "_text_key"]).select(*docs.columns)
+    return renamed(keyed.join(kept, ["_key", "_text_key"], "left_semi").dropDuplicates(["_key", "_text_key"]).select(*docs.columns))
 
 
 def _key(doc_id: Column) -> Column:

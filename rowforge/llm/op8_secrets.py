@@ -132,8 +132,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", repository: Column | None =
     without candidates are not shuffled."""
     repository = F.struct("source", "lang") if repository is None else repository
     owner = F.col("source") if owner is None else owner
-    names = docs.columns
-    found = scan(docs, repository, owner)
+    given, names = docs.columns, [c if c in ("doc_id", "text", "n_chars") else f"_extra{k}" for k, c in enumerate(docs.columns)]
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(given, names, strict=True)], repository.alias("_r"), owner.alias("_o"))
+    found = scan(docs, F.col("_r"), F.col("_o")).drop("_r", "_o")
     clean = found.where(F.size("_value") == 0).select(*names)
     hit = found.where(F.size("_value") > 0).join(classified(found, owners), "_row").select(*names, F.transform("_spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("z"))).alias("_spans"))
     at = names.index("text")
@@ -151,7 +152,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", repository: Column | None =
             columns = [pa.array(texts) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    masked = hit.mapInArrow(run, StructType(docs.schema.fields))
+    masked = hit.mapInArrow(run, StructType(docs.schema.fields[:-2]))
     if "n_chars" in names:
         masked = masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(masked)
+    return clean.unionByName(masked).toDF(*given)

@@ -27,6 +27,13 @@ def test_long_runs():
         assert op.encode_text(text, enc, PAT, 64, 16).tolist() == enc.encode_ordinary(text)
 
 
+def test_a_run_that_the_library_refuses():
+    enc = op.encoding(PATH, P.PATTERN)
+    ids = op.encode_text("x" + " " * 1_000_000, enc, PAT)
+    assert op.decode_ids(ids.astype(np.int64), op.token_table(PATH, P.PATTERN)) == b"x" + b" " * 1_000_000
+    assert ids.tolist() == [*enc.encode_ordinary("x"), *enc._encode_single_piece(" " * 1_000_000)]
+
+
 def test_rows(spark):
     rows = [(3, "It's été\n", 1), (1, None, 2), (2, "", 3), (3, "It's été\n", 1), (None, "x", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")

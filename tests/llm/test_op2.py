@@ -46,6 +46,8 @@ def test_cases(spark):
     for data in ([], [(1, 1, None), (None, 0, 1)], [(1, 1, 0), (3, 0, 0)]):
         labelled = op.label_domains(spark.createDataFrame(data, "doc_id long, quality int, toxic int"))
         assert op.mixing_rates(docs, labelled, [1, 1, 1]).count() == 5
+        more = docs.withColumns({c: op.F.lit(1) for c in ("_tokens", "_p", "_rate", "_copies", "_copy")})
+        assert op.mix_documents(more, labelled, [0.6, 0.3, 0.1], 1.2, low=1.0).columns == more.columns
         out = op.mix_documents(docs, labelled, [0.6, 0.3, 0.1], 1.2, low=1.0)
         assert out.columns == docs.columns and out.count() >= 5
     assert op.mixing_rates(docs.limit(0), labelled, [1, 1, 1]).count() == 0

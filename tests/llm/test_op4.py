@@ -37,5 +37,6 @@ def test_cases(spark):
     for rows in ([], [(1, 1, None), (None, 0, 1)], [(1, 1, 0), (2, 1, 0)], [(1, 1, 1), (1, 0, 0), (3, 1, 0), (2, None, 1)]):
         labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
         assert op.grade_documents(docs, labels).count() == 5
-        assert op.drop_toxic(docs, labels).columns == docs.columns
+        more = docs.withColumns({c: op.F.lit(1) for c in ("_p1", "_toxic", "_severity")})
+        assert op.drop_toxic(more, labels).columns == more.columns and op.drop_toxic(more, labels).count() >= 4
     assert op.grade_documents(docs.limit(0), labels).count() == 0

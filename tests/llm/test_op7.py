@@ -69,10 +69,11 @@ def test_many_near_copies_in_blocks(spark):
 
 def test_one_of_each_stays(spark):
     rows = corpus(9)
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _mark string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _key string").withColumn("_text_key", op.F.lit(1))
     kept = op.keep_one_of_each(df, 5, 80)
     assert kept.columns == df.columns
     got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert {r["_key"] for r in kept.collect()} == {"x"}
     groups = {c for i, n, c in brute(rows, 5, 80) if n and c is not None}
     assert {i for i, t in got if gram_set(t, 5) and i is not None} == groups
     assert len([1 for i, t in got if not gram_set(t, 5)]) == 3
