@@ -18,6 +18,11 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first())
 
 
+def _anew(least: DataFrame) -> DataFrame:
+    """The same rows by a key that looks new: a join then deals out both of its sides, and can split a hub's rows."""
+    return least.withColumn("u", F.col("u").bitwiseXOR(F.lit(0).cast("bigint")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of (u, v) edges but the roots, which are their components' least nodes."""
     now = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -26,10 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = _anew(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         first = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(first, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rest = large.join(_anew(first), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stage(rest.unionByName(first.select("u", F.col("m").alias("v"))).distinct())
         release(now)
         before, now, mark = mark, new, _mark(new)
