@@ -138,11 +138,15 @@ class Array(np.lib.mixins.NDArrayOperatorsMixin):
     # --- elementwise -------------------------------------------------------------------------------------
 
     def __array_ufunc__(self, ufunc, method, *inputs, out=None, dtype=None, **kwargs):
-        if kwargs:
-            raise TypeError(f"{ufunc.__name__}: {', '.join(kwargs)} is not supported")
         if method == "reduce":
             name = {"add": "sum", "multiply": "prod", "minimum": "min", "maximum": "max", "logical_and": "all", "logical_or": "any"}.get(ufunc.__name__)
-            return getattr(inputs[0], name)(0) if name else NotImplemented
+            return getattr(inputs[0], name)(kwargs.pop("axis", 0), out, dtype, **kwargs) if name else NotImplemented
+        if kwargs:
+            raise TypeError(f"{ufunc.__name__}: {', '.join(kwargs)} is not supported")
+        if ufunc is np.matmul and method == "__call__" and out is None:
+            return matmul(*inputs)
+        if ufunc.signature is not None:
+            raise TypeError(f"{ufunc.__name__} is not supported")
         if method != "__call__":
             return NotImplemented
         if len(inputs) > 2:
@@ -489,6 +493,28 @@ def _by_arrow(ufunc: np.ufunc, base: Array, leaves, scalars, readers, held, loop
     return from_rows(rows, out, base.width, base._n, base.dense, base.chunk_rows)
 
 
+def matmul(a: Array, b) -> Array:
+    """a @ b for a matrix or vector b that is on the driver (or small enough to go there): one product an Arrow batch."""
+    if not isinstance(a, Array) or a.ndim != 2:
+        raise TypeError("the left operand must be a two-dimensional array of rows")
+    b = np.asarray(b)
+    if b.ndim not in (1, 2) or b.shape[0] != a.width:
+        raise ValueError(f"operands could not be multiplied: widths {a.width} and {b.shape}")
+    width, wide, out = a.width, b.ndim == 2, np.result_type(a.dtype, b.dtype)
+    kind, dtype = dt.spark_type(out), a.dtype
+
+    def run(batches):
+        for batch in batches:
+            values = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).astype(dtype).reshape(-1, width)
+            got = (values @ b).astype(out)
+            flat = pa.array(got.ravel().astype({"u1": "i2", "u2": "i4", "u4": "i8", "f2": "f4"}.get(out.str[1:], out)))
+            result = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * b.shape[1], pa.int32()), flat) if wide else flat
+            yield pa.RecordBatch.from_arrays([batch.column(0), result], names=["i", "v" if wide else "x"])
+
+    rows = a.to_df().mapInArrow(run, f"i bigint, v array<{kind}>" if wide else f"i bigint, x {kind}")
+    return from_rows(rows, out, b.shape[1] if wide else None, a._n, a.dense, a.chunk_rows)
+
+
 def _two_outputs(ufunc: np.ufunc, inputs) -> tuple:
     """divmod and modf by their parts."""
     if ufunc is np.divmod:
