@@ -58,6 +58,21 @@ def op9_repair_ids(spark, sf_dir):
 
 QUERIES = {"op1_threshold_topk": op1_threshold_topk, "op2_mixing_rates": op2_mixing_rates, "op3_kd_shards": op3_kd_shards, "op4_toxicity_grades": op4_toxicity_grades, "op5_syncmer_fingerprints": op5_syncmer_fingerprints, "op6_chat_paths": op6_chat_paths, "op7_jaccard_groups": op7_jaccard_groups, "op8_secret_spans": op8_secret_spans, "op9_repair_ids": op9_repair_ids, "op10_byte_bpe": op10_byte_bpe}
 ORACLE: dict[str, str] = {
+    "op7_jaccard_groups": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d
+        ), u AS (
+            SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s
+        ), link AS (
+            SELECT a.doc_id AS p, b.doc_id AS q FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id, doc_id AS c FROM s UNION SELECT link.q, reach.c FROM reach JOIN link ON reach.doc_id = link.p
+        )
+        SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)""",
     "op6_chat_paths": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
