@@ -34,7 +34,7 @@ from rowforge.llm.wordhash import text_blocks, word_hashes, word_sets
 from rowforge.sources.staging import release, stage
 
 DOMAINS = ("good", "poor", "toxic")
-TRAIN_ROWS, MAX_FEATURES, STEPS, PULL = 8_000, 4_000, 40, 1e-3
+TRAIN_ROWS, MAX_FEATURES, STEPS, PULL = 6_000, 4_000, 40, 1e-3
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

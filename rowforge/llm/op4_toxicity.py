@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rowforge.llm.grouping import bound_batches, shielded
 from rowforge.llm.wordhash import word_sets
 
-TRAIN_ROWS, MAX_FEATURES, GRADES = 12_000, 2_000, 3
+TRAIN_ROWS, MAX_FEATURES, GRADES = 6_000, 2_000, 3
 
 
 @dataclass
