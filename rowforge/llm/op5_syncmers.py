@@ -1,8 +1,8 @@
 """Document fingerprints of closed syncmers, in DataFrame expressions only.
 
-The alphabet is words: runs of up to 24 characters without ASCII white space (a longer run counts as several).
-A window of k words is an anchor if, of the s-word runs in it, the one with the least hash is the first or the
-last.  That depends on the window alone, so a passage keeps its anchors wherever it stands.  A text's
+The alphabet is pieces of words: a word (a run without ASCII white space) is cut into pieces of four characters
+from its start, so texts without spaces have pieces as well.  A window of k pieces is an anchor if, of the runs of
+s pieces in it, the one with the least hash is the first or the last.  That depends on the window alone, so a passage keeps its anchors wherever it stands.  A text's
 fingerprint is its distinct anchors in the order of their first places, as 32-bit hashes; likeness is the
 Jaccard index of two fingerprints' anchors.
 
@@ -10,7 +10,7 @@ The next document of each is found without one global sort: ids are cut into ran
 document of the range below is copied to the end of each range, and a window in each range reads ahead.
 
 Defined cases: null and empty texts have an empty fingerprint, like only to another empty one (1.0); a text of
-fewer than k words has one anchor, its whole sequence; rows with equal ids are ordered by text, and a repeated
+fewer than k pieces has one anchor, its whole sequence; rows with equal ids are ordered by text, and a repeated
 row may be the next of its copy; null ids come last; a single row is its own next; an empty table gives none.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from rowforge.sources.ranges import quantile_bounds, range_bucket
 
-K_WORDS, S_WORDS, RANGE_BYTES = 5, 2, 8 << 20
-WORD = r"[^ \t\n\x0B\f\r]{1,24}"
+K_PIECES, S_PIECES, RANGE_BYTES = 5, 2, 8 << 20
+PIECE = r"[^ \t\n\x0B\f\r]{1,4}"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,7 +44,7 @@ def _least_of_runs(values: Column, width: int) -> Column:
     return _let(values, paired(width - have)) if have < width else values
 
 
-def fingerprint(text: Column, k: int = K_WORDS, s: int = S_WORDS) -> Column:
+def fingerprint(text: Column, k: int = K_PIECES, s: int = S_PIECES) -> Column:
     """The distinct anchors of a text, an array of ints."""
     if not 1 <= s < k:
         raise ValueError("1 <= s < k is needed")
@@ -67,7 +67,7 @@ def fingerprint(text: Column, k: int = K_WORDS, s: int = S_WORDS) -> Column:
             runs = F.zip_with(shifted(0) if runs is None else runs, shifted(j), lambda a, b: F.xxhash64(a, b))
         return F.when(F.size(words) >= k, _let(runs, anchors)).when(F.size(words) > 0, F.array(F.hash(F.array_join(words, "\n")))).otherwise(F.array().cast("array<int>"))
 
-    return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0), of_words)
+    return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), 0), of_words)
 
 
 def likeness(a: Column, b: Column) -> Column:
