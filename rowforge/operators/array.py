@@ -289,6 +289,7 @@ def from_ndarray(spark: SparkSession, values, chunks: tuple | None = None) -> Ar
     values = np.asarray(values)
     if values.ndim not in (1, 2):
         raise ValueError("arrays have one or two dimensions")
+    dt.spark_type(values.dtype)  # raises for dtypes without a Spark type
     held = values.astype({"u1": "i2", "u2": "i4", "u4": "i8", "f2": "f4"}.get(values.dtype.str[1:], values.dtype))
     at = pa.array(np.arange(len(values), dtype=np.int64))
     if values.ndim == 1:

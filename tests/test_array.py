@@ -240,6 +240,10 @@ def test_constants_and_evaluate(spark, made):
     same(np.sum(o, axis=0), np.full(5, 3))
     assert o.dtype == np.int64
     same(rf.full(spark, 4, 2.5), np.full(4, 2.5))
+    empty = rf.from_ndarray(spark, np.zeros((0, 3)))
+    assert np.asarray(empty + 1).shape == (0, 3) and empty.sum() == 0 and np.isnan(empty.mean())
+    with pytest.raises(TypeError):
+        rf.from_ndarray(spark, np.array([1j]))
     x = made()
     for got, want in zip(rf.evaluate(x + 1, x + 2, x.sum(1)), (X + 1, X + 2, X.sum(1)), strict=True):
         assert_allclose(got, want)
