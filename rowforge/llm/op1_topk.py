@@ -13,7 +13,8 @@ many of their smallest ids as can matter, so a hot vector costs no more than ano
 Defined cases: components become floor(scale * x); a vector that is null, or holds null, NaN or an infinity,
 takes no part; vectors of unlike length count as padded with zeros, so an empty one scores 0; a null id
 takes no part; repeated ids are candidates of their own, but never of the query with the same id, and each
-query id is answered once for each distinct vector it has; scores must fit a long.
+query id is answered once for each distinct vector it has; components and scores beyond a long's range are held
+at its ends.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ class SortedLists:
                 break
         if not len(dims):  # a zero query: every score is 0
             best, seen = self._merge(best, np.arange(n), query, own_id), np.ones(n, bool)
-        return [b[1] for b in best], [-b[0] for b in best], int(seen.sum())
+        return [b[1] for b in best], [min(max(-b[0], -(1 << 63)), (1 << 63) - 1) for b in best], int(seen.sum())
 
     def _merge(self, best: list[tuple[int, int]], found: np.ndarray, query: np.ndarray, own_id: int) -> list[tuple[int, int]]:
         found = found[~(self.alone[found] & (self.lone[found] == own_id))]

@@ -28,6 +28,12 @@ def test_against_brute_force(spark, blocks):
     assert got == brute(rows)
 
 
+def test_scores_are_held_within_a_long(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 1.0]), (50, [1e17, 2.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in op.top_k(df).collect()}
+    assert got[0, 50] == got[50, 0] == 2**63 - 1 and len(got) == 4
+
+
 def test_empty_and_few(spark):
     df = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert op.top_k(df).count() == 0
