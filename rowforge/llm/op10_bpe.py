@@ -24,7 +24,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from rowforge.llm.grouping import bound_batches
+from rowforge.llm.grouping import bound_batches, tidy
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
 
@@ -142,4 +142,4 @@ def _mapped(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str
 
     bound_batches(docs)
     source = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` long, " + ", ".join(f"{name} {kind}" for name, kind, _ in fields))
+    return source.mapInArrow(tidy(run), f"`{id_col}` long, " + ", ".join(f"{name} {kind}" for name, kind, _ in fields))

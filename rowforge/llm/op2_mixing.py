@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from rowforge.llm.grouping import bound_batches, shielded
+from rowforge.llm.grouping import bound_batches, shielded, tidy
 from rowforge.llm.op4_toxicity import training_sets
 from rowforge.llm.wordhash import text_blocks, word_hashes, word_sets
 from rowforge.sources.staging import release, stage
@@ -114,7 +114,7 @@ def memberships(docs: DataFrame, model: DomainModel, mix: Mixture | None = None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), lists, *rate], names=[*batch.schema.names, "_tokens", "_p", *["_rate"] * len(rate)])
 
     more = [StructField("_tokens", LongType()), StructField("_p", ArrayType(DoubleType())), *([] if mix is None else [StructField("_rate", DoubleType())])]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *more]))
 
 
 @dataclass
@@ -172,7 +172,7 @@ def fit_rates(rows: DataFrame, targets: list[float], budget: float, low: float =
                 at_r, at_y = at_r + r @ a, at_y + y @ a
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * d), pa.int32()), pa.array(np.concatenate((at_r, at_y)))], names=["k", "x"])
 
-        found = dict(rows.where("_tokens > 0").select("_tokens", "_p").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x")).collect())
+        found = dict(rows.where("_tokens > 0").select("_tokens", "_p").mapInArrow(tidy(run), "k int, x double").groupBy("k").agg(F.sum("x")).collect())
         got = np.array([found.get(j, 0.0) for j in range(2 * d)])
         mix.reached, off = got[:d], (got[d:] - goal) / total
         if k == steps or np.abs(mix.reached - goal).max() <= 1e-4 * goal.sum():
@@ -192,7 +192,7 @@ def _with_rates(rows: DataFrame, mix: Mixture, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mix.rates(a))], names=[*batch.schema.names, "_rate"])
 
     source = rows.select(*keep, "_tokens", "_p")
-    return source.mapInArrow(run, StructType([*source.schema.fields, StructField("_rate", DoubleType())]))
+    return source.mapInArrow(tidy(run), StructType([*source.schema.fields, StructField("_rate", DoubleType())]))
 
 
 def _copies() -> Column:

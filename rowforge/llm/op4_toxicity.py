@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.grouping import bound_batches, shielded
+from rowforge.llm.grouping import bound_batches, shielded, tidy
 from rowforge.llm.wordhash import word_sets
 
 TRAIN_ROWS, MAX_FEATURES, GRADES = 6_000, 2_000, 3
@@ -132,7 +132,7 @@ def training_sets(docs: DataFrame, graded: DataFrame, train_rows: int = TRAIN_RO
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["grade", "words"])
 
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(some), "doc_id")
-    rows = own.select(F.col("grade").cast("int").alias("grade"), "text").mapInArrow(run, "grade int, words binary").limit(2 * train_rows).collect()
+    rows = own.select(F.col("grade").cast("int").alias("grade"), "text").mapInArrow(tidy(run), "grade int, words binary").limit(2 * train_rows).collect()
     return np.array([r.grade for r in rows], np.int64), [np.frombuffer(r.words, np.uint64) for r in rows]
 
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: OrdinalModel, cutoff: float = 0.5) -> DataFram
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
     extra = [StructField("_p1", DoubleType()), StructField("_p2", DoubleType()), StructField("_severity", DoubleType()), StructField("_toxic", BooleanType())]
-    return schema.mapInArrow(run, StructType([*schema.schema.fields, *extra]))
+    return schema.mapInArrow(tidy(run), StructType([*schema.schema.fields, *extra]))
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cutoff: float = 0.5) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.llm.components import components
-from rowforge.llm.grouping import bound_batches, key_runs, shielded
+from rowforge.llm.grouping import bound_batches, key_runs, shielded, tidy
 from rowforge.llm.wordhash import mix64, shingle_sets
 from rowforge.sources.staging import stage
 
@@ -110,8 +110,8 @@ def frequency_filters(texts: DataFrame, words: int, filter_bits: int = FILTER_BI
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bits = min(20, max(9, math.ceil(math.log2(max(1, size / (4 << 20))))))
     filter_bits = max(part_bits + 3, min(filter_bits, math.ceil(math.log2(max(1, size / 6)))))
-    counts = texts.select("text").mapInArrow(_counted(words, part_bits), "part int, once binary, often binary, times binary")
-    stretches = counts.repartition(1 << (part_bits - 2), "part").mapInArrow(_bits(part_bits, filter_bits, wide), "part int, repeated binary, wide binary").collect()
+    counts = texts.select("text").mapInArrow(tidy(_counted(words, part_bits)), "part int, once binary, often binary, times binary")
+    stretches = counts.repartition(1 << (part_bits - 2), "part").mapInArrow(tidy(_bits(part_bits, filter_bits, wide)), "part int, repeated binary, wide binary").collect()
     filters = []
     for name in ("repeated", "wide"):
         bits = np.zeros((1 << part_bits, 1 << (filter_bits - part_bits - 3)), np.uint8)
@@ -273,7 +273,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, filter_bits: int, block_
     bound_batches(docs)
     width, repeated, wide = frequency_filters(source, words, filter_bits)
     repeated, wide = spark.sparkContext.broadcast(repeated), spark.sparkContext.broadcast(wide)
-    rows = stage(source.mapInArrow(_sets(words, percent, width, repeated, wide), "doc_id long, mark long, n int, sid long, keys array<long>, elements binary"))
+    rows = stage(source.mapInArrow(tidy(_sets(words, percent, width, repeated, wide)), "doc_id long, mark long, n int, sid long, keys array<long>, elements binary"))
 
     keyed = rows.where("keys is not null").select("sid", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("far")).where("hub < far").select("key", "hub")
@@ -288,7 +288,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, filter_bits: int, block_
     pieces = placed.select("family", "block", "sid", "elements", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pieces = pieces.select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "sid", "elements")
     work = pieces.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two", "sid")
-    linked = components(work.mapInArrow(_joined(percent), "u long, v long"))
+    linked = components(work.mapInArrow(tidy(_joined(percent)), "u long, v long"))
 
     own = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = own.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from rowforge.llm.grouping import bound_batches
+from rowforge.llm.grouping import bound_batches, tidy
 from rowforge.sources.staging import stage
 
 KINDS = ("assign", "access", "hex", "generic")
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, repository: Column, owner: Column, keep: list[str] | N
     kept = docs.columns if keep is None else keep
     source = docs.select(*[F.col(c).cast("long").alias(c) if keep and c == "doc_id" else F.col(c) for c in kept], *marks, *([F.col("text")] if "text" not in kept else []))
     bound_batches(docs)
-    found = source.mapInArrow(_scan(source.columns.index("text")), StructType([*source.schema.fields, *_FOUND]))
+    found = source.mapInArrow(tidy(_scan(source.columns.index("text"))), StructType([*source.schema.fields, *_FOUND]))
     return stage(found if keep is None else found.drop("text"))
 
 
@@ -152,7 +152,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", repository: Column | None =
             columns = [pa.array(texts) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    masked = hit.mapInArrow(run, StructType(docs.schema.fields[:-2]))
+    masked = hit.mapInArrow(tidy(run), StructType(docs.schema.fields[:-2]))
     if "n_chars" in names:
         masked = masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(masked).toDF(*given)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -37,7 +37,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
         table = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
-        if len(table) > 8 * BLOCK_BYTES:  # one very long text: not worth keeping
+        if len(table) > 16 * BLOCK_BYTES:  # one very long text: not worth keeping
             return table
         _powers[key] = have = table
     return have
