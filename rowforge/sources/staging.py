@@ -6,6 +6,7 @@ one process (`local[...]`, as in tests) is a temporary folder made; on a cluster
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,10 +39,16 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing will read again."""
+    """Delete staged tables that nothing will read again, and have the driver's JVM collect its garbage.
+
+    Spark drops the shuffle files and broadcasts of a plan once the plan itself is collected; loops of many small
+    jobs otherwise keep them, and grow the driver's heap to its limit before the JVM looks."""
     for df in frames:
         path = getattr(df, "_staged_path", None)
         if path:
             jvm = df.sparkSession.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for df in frames[:1]:
+        gc.collect()  # Python's handles of JVM objects first
+        df.sparkSession.sparkContext._jvm.System.gc()
