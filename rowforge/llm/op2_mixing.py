@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from rowforge.llm.grouping import bound_batches, shielded, tidy
+from rowforge.llm.grouping import bound_batches, give_back, shielded, tidy
 from rowforge.llm.op4_toxicity import training_sets
 from rowforge.llm.wordhash import text_blocks, word_hashes, word_sets
 from rowforge.sources.staging import release, stage
@@ -99,6 +99,12 @@ def fit_domains(domains: np.ndarray, sets: list[np.ndarray], n_domains: int, max
     return DomainModel(words[chosen], w, bias)
 
 
+def _trained(docs: DataFrame, labelled: DataFrame, n_domains: int, train_rows: int) -> DomainModel:
+    model = fit_domains(*training_sets(docs, labelled, train_rows), n_domains)
+    give_back()
+    return model
+
+
 def memberships(docs: DataFrame, model: DomainModel, mix: Mixture | None = None) -> DataFrame:
     """All columns of docs, _tokens (words of the whole text) and _p (posteriors); with mix, _rate as well."""
     bound_batches(docs)
@@ -161,6 +167,7 @@ def fit_rates(rows: DataFrame, targets: list[float], budget: float, low: float =
         return mix
     gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / total
     mix.step = 1 / (float(np.linalg.eigvalsh(gram)[-1]) + pull)
+    still = 0  # steps in which the totals hardly moved
     for k in range(steps + 1):
         sent = mix
 
@@ -174,8 +181,10 @@ def fit_rates(rows: DataFrame, targets: list[float], budget: float, low: float =
 
         found = dict(rows.where("_tokens > 0").select("_tokens", "_p").mapInArrow(tidy(run), "k int, x double").groupBy("k").agg(F.sum("x")).collect())
         got = np.array([found.get(j, 0.0) for j in range(2 * d)])
+        moved = np.abs(got[:d] - mix.reached).max()
         mix.reached, off = got[:d], (got[d:] - goal) / total
-        if k == steps or np.abs(mix.reached - goal).max() <= 1e-4 * goal.sum():
+        still = still + 1 if moved <= 1e-5 * total else 0
+        if k == steps or still == 3 or np.abs(mix.reached - goal).max() <= 1e-4 * goal.sum():
             break
         mix.history = [*mix.history, off]
     return mix
@@ -204,7 +213,7 @@ def _copies() -> Column:
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: list[float], budget: float = 1.0, low: float = 0.0, high: float = 4.0, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, n_tokens, posteriors, rate and copies of every row.  labelled: doc_id and grade (the domain's number)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = fit_domains(*training_sets(source, labelled, train_rows), len(targets))
+    model = _trained(source, labelled, len(targets), train_rows)
     rows = stage(memberships(source, model).drop("text"))
     out = _with_rates(rows, fit_rates(rows, targets, budget, low, high), ["doc_id"])
     return out.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"), _copies().alias("copies"))
@@ -214,7 +223,7 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: list[float], bu
     """docs with each row as many times as its copies say."""
     docs, renamed = shielded(docs, "doc_id", "text")
     names = docs.columns
-    model = fit_domains(*training_sets(docs, labelled, train_rows), len(targets))
+    model = _trained(docs, labelled, len(targets), train_rows)
     rows = stage(memberships(docs, model).drop("text"))
     mix = fit_rates(rows, targets, budget, low, high)
     release(rows)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.grouping import bound_batches, shielded, tidy
+from rowforge.llm.grouping import bound_batches, give_back, shielded, tidy
 from rowforge.llm.wordhash import word_sets
 
 TRAIN_ROWS, MAX_FEATURES, GRADES = 6_000, 2_000, 3
@@ -138,7 +138,9 @@ def training_sets(docs: DataFrame, graded: DataFrame, train_rows: int = TRAIN_RO
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """A model of the labelled documents' severity."""
-    return fit(*training_sets(docs, severity(labels), train_rows), max_features=max_features)
+    model = fit(*training_sets(docs, severity(labels), train_rows), max_features=max_features)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel, cutoff: float = 0.5) -> DataFrame:

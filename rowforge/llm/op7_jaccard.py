@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.llm.components import components
-from rowforge.llm.grouping import bound_batches, key_runs, shielded, tidy
+from rowforge.llm.grouping import bound_batches, give_back, key_runs, shielded, tidy
 from rowforge.llm.wordhash import mix64, shingle_sets
 from rowforge.sources.staging import stage
 
@@ -274,6 +274,9 @@ def _grouped(docs: DataFrame, words: int, percent: int, filter_bits: int, block_
     width, repeated, wide = frequency_filters(source, words, filter_bits)
     repeated, wide = spark.sparkContext.broadcast(repeated), spark.sparkContext.broadcast(wide)
     rows = stage(source.mapInArrow(tidy(_sets(words, percent, width, repeated, wide)), "doc_id long, mark long, n int, sid long, keys array<long>, elements binary"))
+    repeated.destroy()  # what they were for is staged
+    wide.destroy()
+    give_back()
 
     keyed = rows.where("keys is not null").select("sid", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("far")).where("hub < far").select("key", "hub")
