@@ -144,8 +144,9 @@ ORACLE["cross_source_add"] = f"WITH {O_SQL}, {V_SQL} SELECT O.i, round(O.x + V.x
 
 
 def _first(a, b):
-    """Two tables of different sources, by position, over the first 5,000 rows of each."""
-    return a[:5000] + b[:5000]
+    """Two tables of different sources, by position, over all rows that both have."""
+    n = min(len(a), len(b))
+    return a[:n] + b[:n]
 
 
 # --- selection --------------------------------------------------------------------------------------------

@@ -27,6 +27,14 @@ def test_same_rows(spark, con, name):
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
 
 
+def test_cross_source_add_has_all_common_rows(spark):
+    """Against a join of the whole tables: 10,000 events meet 15,000 orders."""
+    sf = "/root/testdata/sf0.01"
+    want = duckdb.sql(f"SELECT o_orderkey, round(o_totalprice + value, 6) + 0.0 FROM '{sf}/orders.parquet' JOIN '{sf}/events.parquet' ON o_orderkey = event_id").fetchall()
+    got = catalog.QUERIES["cross_source_add"](spark, sf).select("i", "x").collect()
+    assert len(want) > 5000 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_every_query_has_an_oracle():
     assert set(catalog.QUERIES) == set(catalog.ORACLE)
 
