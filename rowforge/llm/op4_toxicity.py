@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from rowforge.llm.grouping import bound_batches, give_back, shielded, tidy
 from rowforge.llm.wordhash import word_sets
 
-TRAIN_ROWS, MAX_FEATURES, GRADES = 6_000, 2_000, 3
+TRAIN_ROWS, MAX_FEATURES, GRADES, CHANCE = 6_000, 2_000, 3, 0.05
 
 
 @dataclass
@@ -67,11 +68,12 @@ def severity(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
 
 
-def fit(grades: np.ndarray, sets: list[np.ndarray], n_grades: int = GRADES, max_features: int = MAX_FEATURES, steps: int = 500, penalty: float = 1e-4, least: int = 3) -> OrdinalModel:
+def fit(grades: np.ndarray, sets: list[np.ndarray], n_grades: int = GRADES, max_features: int = MAX_FEATURES, steps: int = 500, penalty: float = 1e-5, least: int = 3) -> OrdinalModel:
     """Thresholds and shared weights by gradient steps on the penalised likelihood.
 
-    Features are the words that tell graded from ungraded documents best by likelihood ratio, down to a quarter of
-    the best one's.  Texts with the same words count once, with their commonest grade: copies prove nothing twice."""
+    Features are the words that tell graded from ungraded documents best by likelihood ratio, down to where chance would
+    give one such word among all that are tested in CHANCE of all cases; the bound does not depend on the best word's.
+    Texts with the same words count once, with their commonest grade: copies prove nothing twice."""
     alike: dict[bytes, list[int]] = {}
     for k, s in enumerate(sets):
         alike.setdefault(s.tobytes(), []).append(k)
@@ -90,7 +92,8 @@ def fit(grades: np.ndarray, sets: list[np.ndarray], n_grades: int = GRADES, max_
     share = np.sum(grades > 0) / n
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (np.nan_to_num(bad * np.log(bad / seen / share)) + np.nan_to_num((seen - bad) * np.log((1 - bad / seen) / (1 - share))))
-    rank = np.where((seen >= least) & (gain >= max(20.0, gain.max() / 4)), gain, -1)
+    bound = NormalDist().inv_cdf(1 - CHANCE / max(1, np.sum(seen >= least)) / 2) ** 2  # of chi-square with one degree
+    rank = np.where((seen >= least) & (gain >= bound), gain, -1)
     chosen = np.sort(np.lexsort((words, -rank))[:max_features])
     chosen = chosen[rank[chosen] > 0]
     if not len(chosen):

@@ -32,6 +32,19 @@ def test_ordered_thresholds_share_weights():
     assert np.corrcoef(p.sum(1), truth)[0, 1] > 0.9
 
 
+def test_rare_telling_words_are_kept():
+    """A word a tenth as frequent as the commonest is a feature, however many labels there are; words of chance are not."""
+    rng = np.random.default_rng(1)
+    for n in (1000, 4000):
+        truth = (rng.random(n) < 0.2).astype(int)
+        own = np.where(truth == 1, np.where(rng.random(n) < 0.1, 8, 7), 9)
+        sets = [np.unique(np.append(rng.integers(100, 2000, 30), k)).astype(np.uint64) for k in own]
+        model = op.fit(truth, sets)
+        assert {7, 8} <= set(model.hashes.tolist()) and len(model.hashes) < 8
+        toxic = model.exceed(model.scores([np.array([k], np.uint64) for k in (7, 8, 9)]))[:, 0] >= 0.5
+        assert toxic.tolist() == [True, True, False]
+
+
 def test_cases(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 6), (3, "x " * 50_000, 7), (3, "x " * 50_000, 7), (None, "idiot", 8)], "doc_id long, text string, grade int")
     for rows in ([], [(1, 1, None), (None, 0, 1)], [(1, 1, 0), (2, 1, 0)], [(1, 1, 1), (1, 0, 0), (3, 1, 0), (2, None, 1)]):
