@@ -3,11 +3,12 @@
 A classifier trained on a labelled table gives each document posteriors over domains.  Each document i then has
 a vector a_i = tokens_i * posteriors_i of expected domain tokens, and rates r_i >= 0 (expected copies) are fitted
 so that sum_i r_i a_i comes near the target tokens of every domain: least squares with a weak pull towards a
-rate of one, by accelerated projected gradient.
+rate of one, within bounds.
 
-A rate depends on a_i and on the gradients of the steps so far alone, and a gradient has one number a domain.
-So the driver keeps the short history of gradients, and a step is one pass over the staged a_i that replays it
-and sums r_i a_i: no per-document state is kept or sent, and a lost executor costs its partitions' replay.
+At the optimum a rate is 1 - (p_i . g) / pull within bounds, where p_i are the posteriors and g, one number a domain,
+is what the totals are off by.  So g is sought: it minimises the smooth convex dual, by Newton's method.  A step is
+one pass over the staged posteriors that takes the dual, its gradient and its curvature at several step lengths at
+once; no per-document state is kept or sent.  Steps go on until the gradient vanishes.
 
 The classifier is a multinomial logistic regression on the presence of telling words (as bounded in number as
 its training rows, the labelled documents least by a hash).  Posteriors, tokens and rates cover all documents.
@@ -34,7 +35,8 @@ from rowforge.llm.wordhash import text_blocks, word_hashes, word_sets
 from rowforge.sources.staging import release, stage
 
 DOMAINS = ("good", "poor", "toxic")
-TRAIN_ROWS, MAX_FEATURES, STEPS, PULL = 6_000, 4_000, 40, 1e-3
+TRAIN_ROWS, MAX_FEATURES, STEPS, PULL = 6_000, 4_000, 200, 1e-3
+LENGTHS, EXACT = 0.25 ** np.arange(12), 1e-8
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -127,66 +129,69 @@ def memberships(docs: DataFrame, model: DomainModel, mix: Mixture | None = None)
 class Mixture:
     """What the fit needs to give any document its rate."""
 
-    scale: float  # of tokens, so that the numbers are about one
     low: float
     high: float
     pull: float
-    step: float
-    history: list  # gradients by domain, step by step
+    off: np.ndarray  # what each domain's tokens are off by, as a share of all tokens
     targets: np.ndarray  # tokens
     reached: np.ndarray
+    steps: int = 0
+    still: float = np.inf  # the dual's gradient where the fit ended
 
     def rates(self, a: np.ndarray) -> np.ndarray:
-        """Rates of documents with expected domain tokens a (a row each), and those the next gradient is taken at."""
-        return self._replay(a)[0]
+        """Rates of documents with expected domain tokens a (a row each)."""
+        size = a.sum(1)
+        return self.at(a @ self.off * np.where(size > 0, 1 / np.maximum(size, 1e-300), 0))
 
-    def _replay(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = a / self.scale
-        size = x.sum(1)
-        weight = np.where(size > 0, 1 / np.maximum(size, 1e-300), 0)  # the pull counts tokens, not documents
-        r = at = np.full(len(a), min(max(1.0, self.low), self.high))
-        for k, g in enumerate(self.history):
-            new = np.clip(at - self.step * ((x @ g) * weight + self.pull * (at - 1)), self.low, self.high)
-            at, r = new + (k / (k + 3)) * (new - r), new
-        return r, at
+    def at(self, s: np.ndarray) -> np.ndarray:
+        """Rates by p . g."""
+        return np.clip(1 - s / self.pull, self.low, self.high)
 
 
 def fit_rates(rows: DataFrame, targets: list[float], budget: float, low: float = 0.0, high: float = 4.0, steps: int = STEPS, pull: float = PULL) -> Mixture:
     """Rates for rows with _tokens and _p (staged), whose domain totals come near targets (weights) times budget * all tokens.
 
-    Variables are scaled by each document's tokens (u_i = r_i sqrt(tokens_i)), which evens out the curvature: the
-    Lipschitz constant is the greatest eigenvalue of the sum of tokens_i p_i p_i^T, and needs one aggregate."""
-    d = len(targets)
-    p = [F.get("_p", k) for k in range(d)]
-    t = F.col("_tokens").cast("double")
-    sums = rows.agg(F.sum(t).alias("t"), *[F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    total = sums["t"] or 0.0
+    Ends where no entry of the dual's gradient exceeds EXACT (of all tokens); `steps` only guards against a fit that does not end, and is an error."""
+    d, m = len(targets), 1 + len(targets) + len(targets) ** 2
+    total = rows.agg(F.sum(F.col("_tokens").cast("double"))).first()[0] or 0.0
     goal = np.array(targets, float) / max(sum(targets), 1e-300) * budget * total
-    mix = Mixture(max(total, 1.0), low, high, pull, 0.0, [], goal, np.zeros(d))
+    mix = Mixture(low, high, pull, np.zeros(d), goal, np.zeros(d))
     if not total:
         return mix
-    gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / total
-    mix.step = 1 / (float(np.linalg.eigvalsh(gram)[-1]) + pull)
-    still = 0  # steps in which the totals hardly moved
-    for k in range(steps + 1):
-        sent = mix
+
+    def sums(points: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """The dual, its gradient, its curvature and the totals reached at each point."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at_r, at_y = np.zeros(d), np.zeros(d)
+            found = np.zeros((len(points), m))
             for batch in batches:
-                a = np.asarray(batch.column(1).flatten()).reshape(-1, d) * np.asarray(batch.column(0))[:, None]
-                r, y = sent._replay(a)
-                at_r, at_y = at_r + r @ a, at_y + y @ a
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * d), pa.int32()), pa.array(np.concatenate((at_r, at_y)))], names=["k", "x"])
-
-        found = dict(rows.where("_tokens > 0").select("_tokens", "_p").mapInArrow(tidy(run), "k int, x double").groupBy("k").agg(F.sum("x")).collect())
-        got = np.array([found.get(j, 0.0) for j in range(2 * d)])
-        moved = np.abs(got[:d] - mix.reached).max()
-        mix.reached, off = got[:d], (got[d:] - goal) / total
-        still = still + 1 if moved <= 1e-5 * total else 0
-        if k == steps or still == 3 or np.abs(mix.reached - goal).max() <= 1e-4 * goal.sum():
-            break
-        mix.history = [*mix.history, off]
+                p, t = np.asarray(batch.column(1).flatten()).reshape(-1, d), np.asarray(batch.column(0))
+                for k, g in enumerate(points):
+                    s = p @ g
+                    r = mix.at(s)
+                    free = t * (r == 1 - s / pull)  # at a bound as well, so that a step from there is not too long
+                    found[k] += np.concatenate(([t @ (r * s + pull / 2 * (r - 1) ** 2)], (t * r) @ p, ((p * free[:, None]).T @ p).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(found.size), pa.int32()), pa.array(found.ravel())], names=["k", "x"])
+
+        got = dict(rows.where("_tokens > 0").select("_tokens", "_p").mapInArrow(tidy(run), "k int, x double").groupBy("k").agg(F.sum("x")).collect())
+        found = np.array([got.get(j, 0.0) for j in range(len(points) * m)]).reshape(-1, m) / total
+        return [(g @ g / 2 + g @ goal / total - x[0], g + goal / total - x[1 : d + 1], np.eye(d) + x[d + 1 :].reshape(d, d) / pull, x[1 : d + 1] * total) for g, x in zip(points, found, strict=True)]
+
+    (value, slope, bend, mix.reached), = sums(mix.off[None])
+    while (still := np.abs(slope).max()) > EXACT:
+        if mix.steps == steps:
+            raise RuntimeError(f"rates are not settled after {steps} steps: gradient {still:.3g}")
+        points = mix.off - LENGTHS[:, None] * np.linalg.solve(bend, slope)
+        tried = sums(points)
+        best = min(range(len(points)), key=lambda k: tried[k][0])
+        if tried[best][0] >= value:  # only where rounding hides what is left: the steeper end of the two is dropped
+            best = min(range(len(points)), key=lambda k: np.abs(tried[k][1]).max())
+            if np.abs(tried[best][1]).max() >= still:
+                if still > 100 * EXACT:
+                    raise RuntimeError(f"rates do not settle: gradient {still:.3g}")
+                break
+        mix.off, (value, slope, bend, mix.reached), mix.steps = points[best], tried[best], mix.steps + 1
+    mix.still = float(still)
     return mix
 
 

@@ -29,6 +29,19 @@ def test_rates_against_plain_least_squares(spark, low, high, targets):
     assert np.allclose(got @ a, mix.reached, rtol=1e-6)
 
 
+@pytest.mark.parametrize("low,targets,budget", [(0.0, [0.88, 0.08, 0.04], 1.0), (1.0, [0.9, 0.07, 0.03], 1.15)])
+def test_default_fit_is_optimal(spark, low, targets, budget):
+    """As production calls it: each rate is the one that the totals' distance from the goal asks for, to a thousandth."""
+    rng = np.random.default_rng(5)
+    tokens, p = rng.integers(1, 800, 3000), rng.dirichlet([2.0, 0.5, 0.2], 3000)
+    mix = op.fit_rates(staged(spark, tokens, p), targets, budget, low)
+    r = mix.rates(p * tokens[:, None])
+    off = (r @ (p * tokens[:, None]) - np.array(targets) * budget * tokens.sum()) / tokens.sum()
+    assert np.abs(r - np.clip(1 - p @ off / op.PULL, low, 4.0)).max() < 1e-3
+    assert np.allclose(mix.reached, r @ (p * tokens[:, None]), rtol=1e-6)
+    assert op.fit_rates(staged(spark, tokens, p), targets, budget, low, pull=1e-5).still <= op.EXACT  # starts at a bound
+
+
 def test_domains_move_to_targets(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
