@@ -11,6 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def batches_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `rows` at most, cut without a copy: what is made from a batch stays small whatever the
+    session's setting; an empty one is passed over."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def bound_batches(df: DataFrame, rows: int = 1000) -> None:
     """Let Arrow batches hold `rows` rows at most from now on in the session of df.
 

@@ -1,82 +1,95 @@
-"""Severity grades of toxicity by cumulative-link ordinal regression on sparse word features.
+"""Severity grades of toxicity by cumulative-link ordinal regression on sparse text features.
 
 Grades come from a labelled table: 0 where it says not toxic, 1 where toxic, 2 where toxic and of low quality.
-P(grade <= j) = sigmoid(theta_j - w.x), with one weight vector shared by all ordered thresholds theta; x marks
-which of a fixed number of telling words a text has, divided by how many of
-them it has: how telling its words are on the average, whatever its length.  Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z
-folded, told apart by a 64-bit hash.
+P(grade <= j) = sigmoid(theta_j - w.x), with one weight vector shared by all ordered thresholds theta.  Features are
+telling words and beginnings of words (4, 5 and 6 bytes), each text's divided by how many it has: how telling they are on the
+average; and, in texts that have any, marks of how many there are and of the text's shape (steps of the shares of distinct
+words, signs, capitals and distinct lines), which part the severe from the others.  Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z folded, told apart by
+48 bits of a hash.
 
-The model is fitted on at most `train_rows` labelled documents, those least by a hash of doc_id (a documented
-bound); it has at most `max_features` weights, so what is sent to executors is bounded.  Every document is then
-scored over its whole text in one map without a shuffle.
+The model is fitted on at most `train_rows` labelled documents with `train_features` features in all, those least by a hash
+of doc_id (documented bounds); it has at most `max_features` weights, so what is sent to executors is bounded.  Every
+document is then scored over its whole text in one map without a shuffle.
 
 Defined cases: null or empty texts have no feature and get the base rate, and no text without a telling word is
 called toxic, whatever that rate; labels that are null are ignored, and
-of several labels of a document the most severe counts; without labels, or with one grade only, the thresholds
-are those of the smoothed base rates; repeated rows are scored each.
+of several labels of a document the most severe counts; of several rows with one labelled id, the one whose features
+are least is fitted on; without labels, or with one grade only, the thresholds
+are those of the smoothed base rates; repeated rows are scored each; very long texts are read whole; other columns are
+ignored by grade_documents and kept as they are, whatever their names, by drop_toxic; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from rowforge.llm.grouping import bound_batches, give_back, shielded, tidy
-from rowforge.llm.wordhash import word_sets
+from rowforge.llm.grouping import batches_of, give_back, shielded, tidy
+from rowforge.llm.wordhash import feature_sets
+from rowforge.sources.staging import release, stage
 
-TRAIN_ROWS, MAX_FEATURES, GRADES, CHANCE = 6_000, 2_000, 3, 0.05
+TRAIN_ROWS, TRAIN_FEATURES, MAX_FEATURES, GRADES, CHANCE, MARKS = 6_000, 1 << 23, 2_000, 3, 1.0, 80  # marks: 64 of shape, 16 of counts
+Features = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass
 class OrdinalModel:
-    """hashes: ascending features; weights: theirs; thresholds: ascending, one fewer than grades."""
+    """hashes: ascending features; weights: theirs; thresholds: ascending, one fewer than grades; marks: a weight for each mark of shape."""
 
     hashes: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    marks: np.ndarray = field(default_factory=lambda: np.zeros(MARKS))
 
-    def scores(self, sets: list[np.ndarray]) -> np.ndarray:
-        """w.x of each set of word hashes, summed set by set: the same set scores the same anywhere."""
+    def scores(self, sets: list[Features]) -> np.ndarray:
+        """w.x of each text's features, summed text by text: the same text scores the same anywhere."""
         return self.told(sets)[0]
 
-    def told(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores, and how many telling words each set has."""
-        sizes = np.array([len(s) for s in sets], np.int64)
+    def told(self, sets: list[Features]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and how many telling features each text has."""
+        sizes = np.array([len(s) for s, _ in sets], np.int64)
         if not len(self.hashes) or not sizes.sum():
             return np.zeros(len(sets)), np.zeros(len(sets), np.int64)
-        flat = np.concatenate(sets)
+        flat = np.concatenate([s for s, _ in sets])
         at = np.minimum(np.searchsorted(self.hashes, flat), len(self.hashes) - 1)
         hit = self.hashes[at] == flat
         rows = np.repeat(np.arange(len(sets)), sizes)[hit]
         n = np.bincount(rows, minlength=len(sets))
-        return np.bincount(rows, self.weights[at[hit]], len(sets)) / np.maximum(1, n), n
+        shape = np.array([self.marks[m.astype(np.int64)].sum() for _, m in sets]) + self.marks[_count_marks(n)]
+        return np.bincount(rows, self.weights[at[hit]], len(sets)) / np.maximum(1, n) + shape * (n > 0), n
 
     def exceed(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ... in columns."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - scores[:, None], -40, 40)))
 
 
+def _count_marks(n: np.ndarray) -> np.ndarray:
+    """The mark of how many telling features a text has, by powers of the root of two."""
+    return 64 + np.minimum(15, np.floor(2 * np.log2(np.maximum(1, n)))).astype(np.int64)
+
+
 def severity(labels: DataFrame) -> DataFrame:
     """doc_id, grade of the labelled documents."""
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
     return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
 
 
-def fit(grades: np.ndarray, sets: list[np.ndarray], n_grades: int = GRADES, max_features: int = MAX_FEATURES, steps: int = 500, penalty: float = 1e-5, least: int = 3) -> OrdinalModel:
+def fit(grades: np.ndarray, sets: list[Features], n_grades: int = GRADES, max_features: int = MAX_FEATURES, steps: int = 500, penalty: float = 1e-5, least: int = 3, mark_penalty: float = 1e-4) -> OrdinalModel:
     """Thresholds and shared weights by gradient steps on the penalised likelihood.
 
-    Features are the words that tell graded from ungraded documents best by likelihood ratio, down to where chance would
-    give one such word among all that are tested in CHANCE of all cases; the bound does not depend on the best word's.
-    Texts with the same words count once, with their commonest grade: copies prove nothing twice."""
-    alike: dict[bytes, list[int]] = {}
-    for k, s in enumerate(sets):
-        alike.setdefault(s.tobytes(), []).append(k)
+    Features are the words and beginnings that tell graded from ungraded documents best by likelihood ratio, down to where
+    chance would give CHANCE such features among all that are tested; the bound does not depend on the best one's.
+    Texts with the same features count once, with their commonest grade: copies prove nothing twice."""
+    alike: dict[tuple[bytes, bytes], list[int]] = {}
+    for k, (s, m) in enumerate(sets):
+        alike.setdefault((s.tobytes(), m.tobytes()), []).append(k)
     sets = [sets[own[0]] for own in alike.values()]
     grades = np.array([np.bincount(grades[own]).argmax() for own in alike.values()], np.int64)
     n = len(grades)
@@ -86,14 +99,14 @@ def fit(grades: np.ndarray, sets: list[np.ndarray], n_grades: int = GRADES, max_
     empty = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), base)
     if not n or not 0 < np.sum(grades > 0) < n:
         return empty
-    rows = np.repeat(np.arange(n), [len(s) for s in sets])
-    words, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(n), [len(s) for s, _ in sets])
+    words, at, seen = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True, return_counts=True)
     bad = np.bincount(at, (grades[rows] > 0).astype(float), len(words))
     share = np.sum(grades > 0) / n
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (np.nan_to_num(bad * np.log(bad / seen / share)) + np.nan_to_num((seen - bad) * np.log((1 - bad / seen) / (1 - share))))
-    bound = NormalDist().inv_cdf(1 - CHANCE / max(1, np.sum(seen >= least)) / 2) ** 2  # of chi-square with one degree
-    rank = np.where((seen >= least) & (gain >= bound), gain, -1)
+    bound = NormalDist().inv_cdf(1 - min(0.5, CHANCE / max(1, np.sum(seen >= least))) / 2) ** 2  # of chi-square with one degree
+    rank = np.where((seen >= least) & (gain >= bound) & (bad > share * seen), gain, -1)
     chosen = np.sort(np.lexsort((words, -rank))[:max_features])
     chosen = chosen[rank[chosen] > 0]
     if not len(chosen):
@@ -102,41 +115,53 @@ def fit(grades: np.ndarray, sets: list[np.ndarray], n_grades: int = GRADES, max_
     column[chosen] = np.arange(len(chosen))
     used = column[at] >= 0
     r, c = rows[used], column[at][used]
-    value = 1 / np.maximum(1, np.bincount(r, minlength=n))
-    w, theta = np.zeros(len(chosen)), base.copy()
-    moment, square = np.zeros(len(w) + len(theta)), np.zeros(len(w) + len(theta))
-    low, high = grades > 0, grades < n_grades - 1
+    told = np.bincount(r, minlength=n)
+    value = 1 / np.maximum(1, told)
+    shaped = np.repeat(np.arange(n), [len(m) for _, m in sets])
+    mark = np.concatenate([m for _, m in sets]).astype(np.int64)
+    shaped, mark = np.append(shaped, np.arange(n)), np.append(mark, _count_marks(told))
+    shaped, mark = shaped[told[shaped] > 0], mark[told[shaped] > 0]
+    w, v, theta = np.zeros(len(chosen)), np.zeros(MARKS), base.copy()
+    moment = square = np.zeros(len(w) + len(v) + len(theta))
+    low, high, k = grades > 0, grades < n_grades - 1, np.arange(n)
     for t in range(1, steps + 1):
-        x = np.bincount(r, w[c], n) * value
+        x = np.bincount(r, w[c], n) * value + np.bincount(shaped, v[mark], n)
         below = 1 / (1 + np.exp(np.clip(x[:, None] - theta[None], -40, 40)))  # P(grade <= j)
         edge = np.concatenate((np.zeros((n, 1)), below, np.ones((n, 1))), 1)
         slope = np.concatenate((np.zeros((n, 1)), below * (1 - below), np.zeros((n, 1))), 1)
-        k = np.arange(n)
         mass = np.maximum(edge[k, grades + 1] - edge[k, grades], 1e-9)
         up, down = slope[k, grades + 1] / mass, slope[k, grades] / mass  # of the thresholds above and below
         g_theta = -np.array([(up * (grades == j)).sum() - (down * (grades == j + 1)).sum() for j in range(n_grades - 1)]) / n
-        g_w = np.bincount(c, ((up * high - down * low) * value)[r], len(w)) / n + penalty * w
-        step = np.concatenate((g_w, g_theta))
+        push = up * high - down * low
+        g_w = np.bincount(c, (push * value)[r], len(w)) / n + penalty * w
+        g_v = np.bincount(mark, push[shaped], MARKS) / n + mark_penalty * v
+        step = np.concatenate((g_w, g_v, g_theta))
         moment, square = 0.9 * moment + 0.1 * step, 0.999 * square + 0.001 * step**2
         move = 0.1 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-        w, theta = w - move[: len(w)], theta - move[len(w) :]
+        w, v, theta = w - move[: len(w)], v - move[len(w) : -len(theta)], theta - move[-len(theta) :]
         theta = np.maximum.accumulate(theta + 1e-6 * np.arange(len(theta)))
-    return OrdinalModel(words[chosen], w, theta)
+    return OrdinalModel(words[chosen], w, theta, v)
 
 
-def training_sets(docs: DataFrame, graded: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Grades and word sets of at most train_rows labelled documents; `graded` is cut to that many before it is broadcast."""
-    bound_batches(docs)
+def training_sets(docs: DataFrame, graded: DataFrame, train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES) -> tuple[np.ndarray, list[Features]]:
+    """Grades and features of at most train_rows labelled documents; `graded` is cut to that many before it is broadcast."""
     some = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.tobytes() for s in word_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["grade", "words"])
+        for batch in batches_of(batches):
+            sets = list(feature_sets(batch.column(2)))
+            n = pa.array([len(s) for s, _ in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, *(pa.array([s[k].tobytes() for s in sets], pa.binary()) for k in (0, 1))], names=["doc_id", "grade", "n", "words", "marks"])
 
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(some), "doc_id")
-    rows = own.select(F.col("grade").cast("int").alias("grade"), "text").mapInArrow(tidy(run), "grade int, words binary").limit(2 * train_rows).collect()
-    return np.array([r.grade for r in rows], np.int64), [np.frombuffer(r.words, np.uint64) for r in rows]
+    found = own.select("doc_id", F.col("grade").cast("int").alias("grade"), "text").mapInArrow(tidy(run), "doc_id long, grade int, n int, words binary, marks binary")
+    rows = stage(found.groupBy("doc_id").agg(F.min(F.struct("n", "grade", "words", "marks")).alias("r")).select(F.xxhash64("doc_id").alias("place"), "doc_id", "r.*"))
+    order = sorted(tuple(r) for r in rows.select("place", "doc_id", "n").collect())
+    total = np.cumsum([n for *_, n in order])
+    last = order[: int(np.searchsorted(total, train_features, "right"))][-1:]
+    held = sorted(rows.where((F.col("place") < last[0][0]) | ((F.col("place") == last[0][0]) & (F.col("doc_id") <= last[0][1]))).collect(), key=lambda r: (r.place, r.doc_id)) if last else []
+    release(rows)
+    return np.array([r.grade for r in held], np.int64), [(np.frombuffer(r.words, np.uint64), np.frombuffer(r.marks, np.uint64)) for r in held]
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_features: int = MAX_FEATURES) -> OrdinalModel:
@@ -148,21 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
 
 def score(docs: DataFrame, model: OrdinalModel, cutoff: float = 0.5) -> DataFrame:
     """All columns of docs, and _p1, _p2 (P of grade 1, 2 or more), _severity (expected grade), _toxic (p1 >= cutoff)."""
-    bound_batches(docs)
-    names = docs.columns
-    schema = docs.select(*[docs[c] for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, n = model.told(list(word_sets(batch.column(batch.schema.get_field_index("text")))))
+        for batch in batches_of(batches):
+            scores, n = model.told(list(feature_sets(batch.column(batch.schema.get_field_index("text")))))
             p = model.exceed(scores)
             extra = [pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p.sum(1)), pa.array((p[:, 0] >= cutoff) & (n > 0))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "_p1", "_p2", "_severity", "_toxic"])
 
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
-
     extra = [StructField("_p1", DoubleType()), StructField("_p2", DoubleType()), StructField("_severity", DoubleType()), StructField("_toxic", BooleanType())]
-    return schema.mapInArrow(tidy(run), StructType([*schema.schema.fields, *extra]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *extra]))
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cutoff: float = 0.5) -> DataFrame:

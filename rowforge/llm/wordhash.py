@@ -81,19 +81,9 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a block, and each text's offsets into them; apart: the bytes between words."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~apart[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | edge[1:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+    """Hashes of all words of a block, and each text's offsets into them."""
+    starts, ends, at = _runs(data, offsets, apart)
+    return span_hashes(data, starts, ends), at
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -120,6 +110,71 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of bytes that are not `apart`, none over a text's edge, and each text's offsets into them."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    inside, edge = ~apart[data], np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
+def _distinct(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, hash) pairs of 48 bits of each hash, by row and then hash: one sort for a whole block (rows < 2**16)."""
+    keys = np.sort(row.astype(np.uint64) << _U(48) | hashes >> _U(16))
+    if len(keys) > 1:
+        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+    return (keys >> _U(48)).astype(np.int64), keys & _U((1 << 48) - 1)
+
+
+#: Shares at which a mark of shape goes from one step to the next.
+STEPS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
+BEGINNINGS = (4, 5, 6)
+SHAPES = 4
+
+
+def feature_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, shape) of each row: sorted distinct 48-bit hashes of its words and of words' beginnings of 4, 5 and 6 bytes;
+    and marks of its shape, numbers under 64: in which step the shares of distinct words, of signs and of capitals lie, and
+    that of distinct lines.  A null or empty text has neither.  Words are runs of ASCII letters, digits and other non-ASCII bytes."""
+    for first, past, data, offsets in _few_rows(text_blocks(column)):
+        rows, sizes = past - first, np.diff(offsets)
+        starts, ends, at = _runs(data, offsets, _SIGNS)
+        row, hashes = [np.repeat(np.arange(rows), np.diff(at))], [span_hashes(data, starts, ends)]
+        for n in BEGINNINGS:
+            longer = ends - starts > n
+            row.append(row[0][longer])
+            hashes.append(mix64(span_hashes(data, starts[longer], starts[longer] + n) + _U(n)))
+        owner, found = _distinct(np.concatenate(row), np.concatenate(hashes))
+        cut = np.searchsorted(owner, np.arange(rows + 1))
+        shares = np.zeros((rows, SHAPES))
+        for k, apart in ((0, _SPACE), (3, _LINE_END)):
+            a, z, to = _runs(data, offsets, apart)
+            n = np.diff(to)
+            shares[:, k] = np.bincount(_distinct(np.repeat(np.arange(rows), n), span_hashes(data, a, z, fold=False))[0], minlength=rows) / np.maximum(1, n)
+        for k, kind in ((1, _SIGNS & ~_SPACE), (2, _CAPITAL)):
+            total = np.concatenate(([0], np.cumsum(kind[data])))
+            shares[:, k] = np.diff(total[offsets]) / np.maximum(1, sizes)
+        marks = np.searchsorted(STEPS, shares, "right") + 16 * np.arange(SHAPES)
+        for d in range(rows):
+            yield found[cut[d] : cut[d + 1]], marks[d].astype(np.uint64) if sizes[d] else np.zeros(0, np.uint64)
+
+
+def _few_rows(blocks: Iterator, most: int = 1 << 15) -> Iterator:
+    for first, past, data, offsets in blocks:
+        for a in range(0, past - first, most):
+            own = offsets[a : min(a + most, past - first) + 1]
+            yield first + a, first + a + len(own) - 1, data[own[0] : own[-1]], own - own[0]
+
+
+_LINE_END = np.arange(256) == 10
+_CAPITAL = (np.arange(256) >= 65) & (np.arange(256) < 91)
+
+
 def word_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """One sorted array of distinct word hashes a row; words are runs of ASCII letters, digits and other non-ASCII bytes."""
     for row, past, data, offsets in text_blocks(column):

@@ -1,6 +1,5 @@
-import re
-
 import numpy as np
+import pytest
 
 from rowforge.llm import op4_toxicity as op
 
@@ -8,23 +7,34 @@ SF = "/root/testdata/sf0.1"
 
 
 def test_held_out_accuracy(spark):
+    """Against the labels of documents that the fit has not seen, in each language and for each grade."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     train, rest = labels.where("pmod(hash(doc_id), 4) < 3"), labels.where("pmod(hash(doc_id), 4) = 3")
-    graded = op.grade_documents(docs, train).withColumnRenamed("grade", "guess").join(op.severity(rest), "doc_id").collect()
+    graded = op.grade_documents(docs, train).withColumnRenamed("grade", "guess").join(op.severity(rest), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(graded) > 800
-    # About 4 of 10 labelled toxic have no toxic word at all; none of those with one may be missed, and no clean one caught.
-    words = {"idiot", "moron", "trash", "pathetic", "worthless", "disgusting", "stupid", "clown", "loser", "scum"}
-    texts = {r.doc_id: set(re.findall("[a-z]+", r.text.lower())) for r in docs.join(rest, "doc_id").collect()}
-    for r in graded:
-        assert r.toxic == int(bool(words & texts[r.doc_id]))
-    assert sum(r.grade > 0 for r in graded if r.toxic) >= 0.97 * sum(r.toxic for r in graded) > 50
+    bad = [r for r in graded if r.grade > 0]
+    assert sum(r.toxic for r in bad) >= 0.85 * len(bad)  # some labels say toxic of texts that nothing tells from others
+    assert sum(not r.toxic for r in graded if not r.grade) >= 0.99 * (len(graded) - len(bad))
+    for lang, least in (("en", 0.85), ("de", 0.75), ("fr", 0.75), ("es", 0.4)):  # there are some 25 Spanish toxic ones to learn from
+        own = [r.toxic for r in bad if r.lang == lang]
+        assert own and sum(own) >= least * len(own), lang
+    severe = [r.guess == 2 for r in bad if r.grade == 2]
+    assert sum(severe) >= 0.35 * len(severe) > 0
+    assert sum(r.guess == 2 for r in graded) <= 2 * len(severe)
+    mean = [np.mean([r.expected_severity for r in graded if r.grade == k]) for k in range(3)]
+    assert mean[0] < 0.05 < 0.7 < mean[1] < mean[2]
     assert all(0 <= r.expected_severity <= 2 and r.p_severe <= r.p_toxic for r in graded)
 
 
+def plain(words):
+    """Features without marks of shape."""
+    return np.unique(words).astype(np.uint64), np.zeros(0, np.uint64)
+
+
 def test_ordered_thresholds_share_weights():
     rng = np.random.default_rng(0)
     truth = rng.integers(0, 3, 900)
-    sets = [np.unique(np.append(rng.integers(100, 400, 20), [7] * int(g >= 1) + [8] * int(g >= 2 and rng.random() < 0.9))).astype(np.uint64) for g in truth]
+    sets = [plain(np.append(rng.integers(100, 400, 20), [7] * int(g >= 1) + [8, 9, 10] * int(g >= 2 and rng.random() < 0.9))) for g in truth]
     model = op.fit(truth, sets)
     p = model.exceed(model.scores(sets))
     guess = (p > 0.5).sum(1)
@@ -33,23 +43,50 @@ def test_ordered_thresholds_share_weights():
 
 
 def test_rare_telling_words_are_kept():
-    """A word a tenth as frequent as the commonest is a feature, however many labels there are; words of chance are not."""
+    """A word a tenth as frequent as the commonest is a feature, however many labels there are; words of chance are few."""
     rng = np.random.default_rng(1)
     for n in (1000, 4000):
         truth = (rng.random(n) < 0.2).astype(int)
         own = np.where(truth == 1, np.where(rng.random(n) < 0.1, 8, 7), 9)
-        sets = [np.unique(np.append(rng.integers(100, 2000, 30), k)).astype(np.uint64) for k in own]
+        sets = [plain(np.append(rng.integers(100, 2000, 30), k)) for k in own]
         model = op.fit(truth, sets)
-        assert {7, 8} <= set(model.hashes.tolist()) and len(model.hashes) < 8
-        toxic = model.exceed(model.scores([np.array([k], np.uint64) for k in (7, 8, 9)]))[:, 0] >= 0.5
+        assert {7, 8} <= set(model.hashes.tolist()) and len(model.hashes) < 12
+        toxic = model.exceed(model.scores([plain([k]) for k in (7, 8, 9)]))[:, 0] >= 0.5
         assert toxic.tolist() == [True, True, False]
 
 
 def test_cases(spark):
+    """Nulls, empty, very long and repeated texts, clashing columns, all kinds of labels: values, not only counts."""
     docs = spark.createDataFrame([(1, None, 5), (2, "", 6), (3, "x " * 50_000, 7), (3, "x " * 50_000, 7), (None, "idiot", 8)], "doc_id long, text string, grade int")
-    for rows in ([], [(1, 1, None), (None, 0, 1)], [(1, 1, 0), (2, 1, 0)], [(1, 1, 1), (1, 0, 0), (3, 1, 0), (2, None, 1)]):
+    for rows, rate in (([], 0.5), ([(1, 1, None), (None, 0, 1)], 0.5), ([(1, 1, 0), (2, 1, 0)], 0.25), ([(1, 1, 1), (1, 0, 0), (3, 1, 0), (2, None, 1)], None)):
         labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
-        assert op.grade_documents(docs, labels).count() == 5
+        got = op.grade_documents(docs, labels).collect()
+        assert sorted((r.doc_id or 0) for r in got) == [0, 1, 2, 3, 3] and not any(r.toxic for r in got)
+        if rate is not None:  # nothing to tell by: the smoothed base rate of the labels (texts 1 and 2 are alike and count once)
+            assert all(r.p_toxic == pytest.approx(rate, abs=1e-3) for r in got)
         more = docs.withColumns({c: op.F.lit(1) for c in ("_p1", "_toxic", "_severity")})
-        assert op.drop_toxic(more, labels).columns == more.columns and op.drop_toxic(more, labels).count() >= 4
+        assert op.drop_toxic(more, labels).columns == more.columns
+        assert sorted(map(str, op.drop_toxic(more, labels).collect())) == sorted(map(str, more.collect()))
     assert op.grade_documents(docs.limit(0), labels).count() == 0
+
+
+def test_long_and_repeated_texts(spark):
+    """A telling word counts wherever it stands in a text of some 500 KB; rows with one id are graded each."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*rng.choice(words, 30), *(["vile"] if k % 4 == 0 else [])]), 1, int(k % 4 == 0)) for k in range(400)]
+    long = " ".join(["calm water"] * 45_000)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, f"{long} vile"), (1001, long), (1001, "Vile!"), (None, "vile " * 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    got = sorted((r.doc_id or -1, r.toxic) for r in op.grade_documents(docs, labels).where("doc_id is null or doc_id >= 1000").collect())
+    assert got == [(-1, 1), (1000, 1), (1001, 0), (1001, 1)]
+
+
+def test_bounds_of_the_fit(spark):
+    """The labelled documents least by a hash, as many as the bounds allow; a repeated id gives one row."""
+    docs = spark.createDataFrame([(k % 40, f"word{k} other{k} third{k}") for k in range(80)], "doc_id long, text string")
+    graded = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, grade int")
+    grades, sets = op.training_sets(docs, graded, 30)
+    assert len(grades) == 30 and len(sets) == 30
+    fewer, some = op.training_sets(docs, graded, 30, sum(len(s) for s, _ in sets[:10]))
+    assert fewer.tolist() == grades[:10].tolist() and all((a[0] == b[0]).all() for a, b in zip(some, sets))
