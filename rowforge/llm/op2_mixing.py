@@ -10,12 +10,18 @@ is what the totals are off by.  So g is sought: it minimises the smooth convex d
 one pass over the staged posteriors that takes the dual, its gradient and its curvature at several step lengths at
 once; no per-document state is kept or sent.  Steps go on until the gradient vanishes.
 
-The classifier is a multinomial logistic regression on the presence of telling words (as bounded in number as
-its training rows, the labelled documents least by a hash).  Posteriors, tokens and rates cover all documents.
+The classifier is a multinomial logistic regression on telling words, beginnings of words and marks of the text's shape
+(the features of op4, from as bounded a number of rows: the labelled documents least by a hash).  A fifth of the labelled
+documents are held out, and the scores are divided by the temperature that makes their labels likeliest, so that posteriors
+are as sure as they are right.  Posteriors, tokens and rates cover all documents.
+
+Targets may be out of reach within the bounds: then the totals come as near as they can.  Mixture tells goal and reached
+totals, and `tolerance` makes a miss of more than that share of a domain's goal an error.
 
 Defined cases: a null or empty text has no tokens, the prior's posteriors, and keeps the rate one within bounds;
 without labels all posteriors are equal; null labels are ignored; a domain that no token is expected in cannot
-be raised; repeated rows are documents of their own; an empty table gives no rows.
+be raised; repeated rows are documents of their own; very long texts are read whole; mixing_rates ignores other columns,
+and mix_documents keeps them whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,13 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from rowforge.llm.grouping import bound_batches, give_back, shielded, tidy
-from rowforge.llm.op4_toxicity import training_sets
-from rowforge.llm.wordhash import text_blocks, word_hashes, word_sets
+from rowforge.llm.grouping import batches_of, give_back, shielded, tidy
+from rowforge.llm.op4_toxicity import Features, training_sets
+from rowforge.llm.wordhash import feature_sets, text_blocks, word_hashes
 from rowforge.sources.staging import release, stage
 
 DOMAINS = ("good", "poor", "toxic")
-TRAIN_ROWS, MAX_FEATURES, STEPS, PULL = 6_000, 4_000, 200, 1e-3
+TRAIN_ROWS, MAX_FEATURES, STEPS, PULL = 6_000, 4_000, 200, 1e-5
 LENGTHS, EXACT = 0.25 ** np.arange(12), 1e-8
 
 
@@ -45,6 +51,16 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic is not null and quality is not null").groupBy("doc_id").agg(F.max(domain).alias("grade"))
 
 
+def label_quality(labels: DataFrame) -> DataFrame:
+    """doc_id and grade of labelled documents by quality alone: 0 good, 1 poor; conflicts go to poor."""
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 0).otherwise(1)).alias("grade"))
+
+
+def _joined_features(sets: list[Features]) -> list[np.ndarray]:
+    """A text's marks of shape and its other features in one ascending array: marks are under 64."""
+    return [np.concatenate((m, s)) for s, m in sets]
+
+
 @dataclass
 class DomainModel:
     """hashes: ascending features; weights: a row for each, a column for each domain; bias: log priors and offsets."""
@@ -52,24 +68,32 @@ class DomainModel:
     hashes: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    temperature: float = 1.0
 
-    def posteriors(self, sets: list[np.ndarray]) -> np.ndarray:
-        """A row of domain probabilities for each set of word hashes."""
+    def logits(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row of domains' scores for each set of features."""
         x, sizes = np.tile(self.bias, (len(sets), 1)), np.array([len(s) for s in sets], np.int64)
         if len(self.hashes) and sizes.sum():
             flat = np.concatenate(sets)
             at = np.minimum(np.searchsorted(self.hashes, flat), len(self.hashes) - 1)
             hit = self.hashes[at] == flat
             rows = np.repeat(np.arange(len(sets)), sizes)[hit]
-            scale = 1 / np.sqrt(np.maximum(1, np.bincount(rows, minlength=len(sets))))
             for d in range(x.shape[1]):
-                x[:, d] += scale * np.bincount(rows, self.weights[at[hit], d], len(sets))
-        e = np.exp(x - x.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
+                x[:, d] += np.bincount(rows, self.weights[at[hit], d], len(sets))
+        return x
+
+    def posteriors(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row of domain probabilities for each set of features."""
+        return _softmax(self.logits(sets) / self.temperature)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
 
-def fit_domains(domains: np.ndarray, sets: list[np.ndarray], n_domains: int, max_features: int = MAX_FEATURES, steps: int = 150, penalty: float = 1e-3) -> DomainModel:
-    """Penalised multinomial regression on the words that tell domains apart best by likelihood ratio."""
+def fit_domains(domains: np.ndarray, sets: list[np.ndarray], n_domains: int, max_features: int = MAX_FEATURES, steps: int = 300, penalty: float = 1e-4) -> DomainModel:
+    """Penalised multinomial regression on the features that tell domains apart best by likelihood ratio."""
     n = len(domains)
     prior = (np.bincount(domains, minlength=n_domains) + 1) / (n + n_domains)
     if not n or len(np.unique(domains)) < 2 or not sum(map(len, sets)):
@@ -81,41 +105,51 @@ def fit_domains(domains: np.ndarray, sets: list[np.ndarray], n_domains: int, max
         gain = 2 * np.nan_to_num(joint * np.log(joint / seen[:, None] / prior)).sum(1)
     rank = np.where(seen >= 5, gain, -1)
     chosen = np.sort(np.lexsort((words, -rank))[:max_features])
-    chosen = chosen[rank[chosen] > 10]
+    chosen = chosen[rank[chosen] > 2 * np.log(max(2, np.sum(seen >= 5))) + 4]  # beyond what chance gives among so many
     column = np.full(len(words), -1)
     column[chosen] = np.arange(len(chosen))
     used = column[at] >= 0
     r, c = rows[used], column[at][used]
-    scale = (1 / np.sqrt(np.maximum(1, np.bincount(r, minlength=n))))[r]
     truth = np.eye(n_domains)[domains]
     w, bias = np.zeros((len(chosen), n_domains)), np.log(prior)
-    moment, square = np.zeros((len(chosen) + 1, n_domains)), np.zeros((len(chosen) + 1, n_domains))
+    moment = square = np.zeros((len(chosen) + 1, n_domains))
     for t in range(1, steps + 1):
-        x = bias + np.stack([np.bincount(r, w[c, d] * scale, n) for d in range(n_domains)], 1)
-        e = np.exp(x - x.max(1, keepdims=True))
-        off = (e / e.sum(1, keepdims=True) - truth) / n
-        g = np.concatenate((np.stack([np.bincount(c, off[r, d] * scale, len(chosen)) for d in range(n_domains)], 1) + penalty * w, off.sum(0)[None]))
+        off = (_softmax(bias + np.stack([np.bincount(r, w[c, d], n) for d in range(n_domains)], 1)) - truth) / n
+        g = np.concatenate((np.stack([np.bincount(c, off[r, d], len(chosen)) for d in range(n_domains)], 1) + penalty * w, off.sum(0)[None]))
         moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g**2
         move = 0.1 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     return DomainModel(words[chosen], w, bias)
 
 
+TEMPERATURES = 2.0 ** (np.arange(-4, 17) / 4)
+
+
+def fit_calibrated(domains: np.ndarray, sets: list[np.ndarray], n_domains: int) -> DomainModel:
+    """fit_domains on four fifths, with the temperature at which the rest's labels are likeliest (1 without enough of them)."""
+    rest = np.arange(len(domains)) % 5 == 0  # the rows come in the order of a hash
+    model = fit_domains(domains[~rest], [s for s, out in zip(sets, rest, strict=True) if not out], n_domains)
+    if len(model.hashes) and rest.sum() >= 20:
+        x, own = model.logits([s for s, out in zip(sets, rest, strict=True) if out]), domains[rest]
+        model.temperature = min(TEMPERATURES, key=lambda t: -np.log(np.maximum(_softmax(x / t)[np.arange(len(own)), own], 1e-12)).sum())
+    return model
+
+
 def _trained(docs: DataFrame, labelled: DataFrame, n_domains: int, train_rows: int) -> DomainModel:
-    model = fit_domains(*training_sets(docs, labelled, train_rows), n_domains)
+    domains, sets = training_sets(docs, labelled, train_rows)
+    model = fit_calibrated(domains, _joined_features(sets), n_domains)
     give_back()
     return model
 
 
 def memberships(docs: DataFrame, model: DomainModel, mix: Mixture | None = None) -> DataFrame:
     """All columns of docs, _tokens (words of the whole text) and _p (posteriors); with mix, _rate as well."""
-    bound_batches(docs)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches):
             text = batch.column(at)
-            p = model.posteriors(list(word_sets(text)))
+            p = model.posteriors(_joined_features(list(feature_sets(text))))
             n = np.concatenate([np.zeros(0, np.int64), *(np.diff(word_hashes(data, offsets)[1]) for _, _, data, offsets in text_blocks(text))])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
             rate = [] if mix is None else [pa.array(mix.rates(p * n[:, None]))]
@@ -215,22 +249,32 @@ def _copies() -> Column:
     return (F.floor("_rate") + F.when(chance < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: list[float], budget: float = 1.0, low: float = 0.0, high: float = 4.0, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, n_tokens, posteriors, rate and copies of every row.  labelled: doc_id and grade (the domain's number)."""
+def _checked(mix: Mixture, tolerance: float | None) -> Mixture:
+    if tolerance is not None and (missed := np.abs(mix.reached - mix.targets) > tolerance * np.maximum(mix.targets, 1)).any():
+        raise ValueError(f"targets out of reach: domains {np.flatnonzero(missed).tolist()} stand at {mix.reached.tolist()} tokens, wanted {mix.targets.tolist()}")
+    return mix
+
+
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: list[float], budget: float = 1.0, low: float = 0.0, high: float = 4.0, train_rows: int = TRAIN_ROWS, tolerance: float | None = None) -> DataFrame:
+    """doc_id, n_tokens, posteriors, rate, copies, and the domains' wanted and reached totals (the same in each row).
+
+    labelled: doc_id and grade (the domain's number)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = _trained(source, labelled, len(targets), train_rows)
     rows = stage(memberships(source, model).drop("text"))
-    out = _with_rates(rows, fit_rates(rows, targets, budget, low, high), ["doc_id"])
-    return out.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"), _copies().alias("copies"))
+    mix = _checked(fit_rates(rows, targets, budget, low, high), tolerance)
+    out = _with_rates(rows, mix, ["doc_id"])
+    totals = [F.array(*[F.lit(float(x)) for x in own]).alias(name) for own, name in ((mix.targets, "wanted_tokens"), (mix.reached, "reached_tokens"))]
+    return out.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"), _copies().alias("copies"), *totals)
 
 
-def mix_documents(docs: DataFrame, labelled: DataFrame, targets: list[float], budget: float = 1.0, low: float = 0.0, high: float = 4.0, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def mix_documents(docs: DataFrame, labelled: DataFrame, targets: list[float], budget: float = 1.0, low: float = 0.0, high: float = 4.0, train_rows: int = TRAIN_ROWS, tolerance: float | None = None) -> DataFrame:
     """docs with each row as many times as its copies say."""
     docs, renamed = shielded(docs, "doc_id", "text")
     names = docs.columns
     model = _trained(docs, labelled, len(targets), train_rows)
-    rows = stage(memberships(docs, model).drop("text"))
-    mix = fit_rates(rows, targets, budget, low, high)
+    rows = stage(memberships(docs.select("text"), model).drop("text"))
+    mix = _checked(fit_rates(rows, targets, budget, low, high), tolerance)
     release(rows)
     counted = memberships(docs, model, mix).withColumn("_copies", _copies())
     return renamed(counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names))
