@@ -25,6 +25,28 @@ def _reduction(name: str):
 
 
 _SAME = {name: getattr(np, name) for table in (ufuncs.FLOAT, ufuncs.INTEGER, ufuncs.BOOLEAN) for name in table}
-_REDUCTIONS = {name: _reduction(name) for name in ("sum", "prod", "mean", "min", "max", "argmin", "argmax", "all", "any", "var", "std", "ptp", "count_nonzero", "nansum")}
+_REDUCTIONS = {name: _reduction(name) for name in ("sum", "prod", "mean", "min", "max", "argmin", "argmax", "all", "any", "var", "std", "ptp", "count_nonzero", "nansum", "median", "cumsum", "cumprod")}
+
+
+def percentile(array: Array, q, axis=None, **kwargs):
+    return array.percentile(q, axis, **kwargs)
+
+
+def quantile(array: Array, q, axis=None, **kwargs):
+    return array.quantile(q, axis, **kwargs)
+
+
+def sort(array: Array, axis: int = -1) -> Array:
+    return array.sorted(axis)
+
+
+def argsort(array: Array, axis: int = -1) -> Array:
+    return array.argsort(axis)
+
+
+def unique(array: Array) -> Array:
+    return array.unique()
+
+
 globals().update(_SAME | _REDUCTIONS)
-__all__ = ["Array", "asndarrays", "evaluate", "from_ndarray", "from_parquet", "from_table", "from_zarr", "full", "ones", "zeros", *_SAME, *_REDUCTIONS]  # noqa: PLE0604
+__all__ = ["Array", "asndarrays", "evaluate", "from_ndarray", "from_parquet", "from_table", "from_zarr", "full", "ones", "percentile", "quantile", "sort", "argsort", "unique", "zeros", *_SAME, *_REDUCTIONS]  # noqa: PLE0604

@@ -9,7 +9,9 @@ same rows combine as expressions; others are joined on `i`.
 from __future__ import annotations
 
 import builtins
+import itertools
 import numbers
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +25,8 @@ from rowforge.operators import reductions
 from rowforge.operators.dense import dense_index
 
 LITERAL_WIDTH = 100_000  # a row operand is at most a row: longer ones are refused as literals
+PRODUCT_SIZE = 1 << 24  # elements of a right factor that is sent whole to every executor
+HELD = {"u1": "i2", "u2": "i4", "u4": "i8", "f2": "f4"}  # dtypes in the wider ones that hold them
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,11 +36,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 class Array(np.lib.mixins.NDArrayOperatorsMixin):
     """rows: DataFrame with `i`; leaves: array-valued columns of it (2-D), all of `width`; scalars: row-valued columns;
-    build: elements of the leaves and the scalars -> an element.  A 1-D array has scalars only."""
+    build: elements of the leaves and the scalars -> an element.  A 1-D array has scalars only.  operands: row operands by
+    the names of the columns that hold them once the rows are used."""
 
-    def __init__(self, rows: DataFrame, leaves: list[Column], scalars: list[Column], build: Callable, dtype, width: int | None, n: int | None = None, dense: bool = True, chunk_rows: int | None = None):
+    def __init__(self, rows: DataFrame, leaves: list[Column], scalars: list[Column], build: Callable, dtype, width: int | None, n: int | None = None, dense: bool = True, chunk_rows: int | None = None, operands: dict | None = None):
         self.rows, self.leaves, self.scalars, self.build = rows, leaves, scalars, build
         self.dtype, self.width, self._n, self.dense, self.chunk_rows = np.dtype(dtype), width, n, dense, chunk_rows
+        self.operands = operands or {}
 
     # --- shape -------------------------------------------------------------------------------------------
 
@@ -69,7 +75,7 @@ class Array(np.lib.mixins.NDArrayOperatorsMixin):
         return f"Array(ndim={self.ndim}, width={self.width}, dtype={self.dtype})"
 
     def _like(self, **changes) -> Array:
-        now = {"rows": self.rows, "leaves": self.leaves, "scalars": self.scalars, "build": self.build, "dtype": self.dtype, "width": self.width, "n": self._n, "dense": self.dense, "chunk_rows": self.chunk_rows}
+        now = {"rows": self.rows, "leaves": self.leaves, "scalars": self.scalars, "build": self.build, "dtype": self.dtype, "width": self.width, "n": self._n, "dense": self.dense, "chunk_rows": self.chunk_rows, "operands": self.operands}
         return Array(**(now | changes))
 
     def copy(self) -> Array:
@@ -87,8 +93,13 @@ class Array(np.lib.mixins.NDArrayOperatorsMixin):
             return body([])
         return let(values[0], lambda v: self._bound(values[1:], lambda rest: body([v, *rest])))
 
+    def held(self, *others: Array) -> DataFrame:
+        """The rows with the columns of all row operands, its own and those of others over the same rows."""
+        columns = {name: row.column() for a in (self, *others) for name, row in a.operands.items()}
+        return self.rows.withColumns(columns) if columns else self.rows
+
     def value(self) -> Column:
-        """The row's value: an array (2-D) or a scalar."""
+        """The value of a row of `held`: an array (2-D) or a scalar."""
         if self.ndim == 1:
             return self.build([], self.scalars)
         first, *rest = self.leaves
@@ -98,13 +109,13 @@ class Array(np.lib.mixins.NDArrayOperatorsMixin):
 
     def to_df(self) -> DataFrame:
         """(i, v) of a 2-D array, (i, x) of a 1-D one."""
-        return self.rows.select("i", self.value().alias("v" if self.ndim == 2 else "x"))
+        return self.held().select("i", self.value().alias("v" if self.ndim == 2 else "x"))
 
     def to_long(self) -> DataFrame:
         """(i, j, x): elements of a 2-D array; the expression is applied to exploded elements, not before."""
         if self.ndim == 1:
             return self.to_df()
-        held = self.rows.select("i", *[c.alias(f"_l{k}") for k, c in enumerate(self.leaves)], *[c.alias(f"_s{k}") for k, c in enumerate(self.scalars)])
+        held = self.held().select("i", *[c.alias(f"_l{k}") for k, c in enumerate(self.leaves)], *[c.alias(f"_s{k}") for k, c in enumerate(self.scalars)])
         rest = [f"_l{k}" for k in range(1, len(self.leaves))]
         flat = held.select("i", *rest, *[f"_s{k}" for k in range(len(self.scalars))], F.posexplode("_l0").alias("j", "_x"))
         elements = [F.col("_x"), *[F.get(F.col(c), F.col("j")) for c in rest]]
@@ -164,9 +175,14 @@ class Array(np.lib.mixins.NDArrayOperatorsMixin):
         return result
 
     def __array_function__(self, func, types, args, kwargs):
-        own = {np.sum: "sum", np.prod: "prod", np.min: "min", np.amin: "min", np.max: "max", np.amax: "max", np.mean: "mean", np.var: "var", np.std: "std", np.argmin: "argmin", np.argmax: "argmax", np.all: "all", np.any: "any", np.ptp: "ptp", np.count_nonzero: "count_nonzero", np.nansum: "nansum"}.get(func)
+        own = {np.sum: "sum", np.prod: "prod", np.min: "min", np.amin: "min", np.max: "max", np.amax: "max", np.mean: "mean", np.var: "var", np.std: "std", np.argmin: "argmin", np.argmax: "argmax", np.all: "all", np.any: "any", np.ptp: "ptp", np.count_nonzero: "count_nonzero", np.nansum: "nansum", np.median: "median", np.percentile: "percentile", np.quantile: "quantile", np.cumsum: "cumsum", np.cumprod: "cumprod", np.sort: "sorted", np.argsort: "argsort", np.unique: "unique"}.get(func)
         if own and isinstance(args[0], Array):
-            return getattr(args[0], own)(*args[1:], **kwargs)
+            try:
+                return getattr(args[0], own)(*args[1:], **kwargs)
+            except TypeError as unsupported:
+                if own not in ("percentile", "quantile", "cumsum", "cumprod", "sorted", "argsort", "unique"):
+                    raise
+                warnings.warn(f"{func.__name__} is computed on the driver: {unsupported}", stacklevel=2)
         plain = [np.asarray(a) if isinstance(a, Array) else [np.asarray(x) if isinstance(x, Array) else x for x in a] if isinstance(a, (list, tuple)) else a for a in args]
         return func(*plain, **{k: np.asarray(v) if isinstance(v, Array) else v for k, v in kwargs.items()})  # on the driver
 
@@ -239,6 +255,44 @@ class Array(np.lib.mixins.NDArrayOperatorsMixin):
     def ptp(self, axis=None, **kw):
         return self.max(axis, **kw) - self.min(axis, **kw)
 
+    # --- order: see operators/order.py -------------------------------------------------------------------
+
+    def percentile(self, q, axis=None, keepdims: bool = False):
+        from rowforge.operators import order
+
+        return order.percentile(self, q, axis, keepdims)
+
+    def quantile(self, q, axis=None, keepdims: bool = False):
+        return self.percentile(np.asarray(q) * 100, axis, keepdims)
+
+    def median(self, axis=None, keepdims: bool = False):
+        return self.percentile(50, axis, keepdims)
+
+    def cumsum(self, axis=None):
+        from rowforge.operators import order
+
+        return order.running(self, False, axis)
+
+    def cumprod(self, axis=None):
+        from rowforge.operators import order
+
+        return order.running(self, True, axis)
+
+    def sorted(self, axis: int = -1):
+        from rowforge.operators import order
+
+        return order.sort(self, axis)
+
+    def argsort(self, axis: int = -1):
+        from rowforge.operators import order
+
+        return order.argsort(self, axis)
+
+    def unique(self):
+        from rowforge.operators import order
+
+        return order.unique(self)
+
     # --- indexing ----------------------------------------------------------------------------------------
 
     def __getitem__(self, item):
@@ -290,7 +344,7 @@ def from_ndarray(spark: SparkSession, values, chunks: tuple | None = None) -> Ar
     if values.ndim not in (1, 2):
         raise ValueError("arrays have one or two dimensions")
     dt.spark_type(values.dtype)  # raises for dtypes without a Spark type
-    held = values.astype({"u1": "i2", "u2": "i4", "u4": "i8", "f2": "f4"}.get(values.dtype.str[1:], values.dtype))
+    held = values.astype(HELD.get(values.dtype.str[1:], values.dtype))
     at = pa.array(np.arange(len(values), dtype=np.int64))
     if values.ndim == 1:
         table = pa.table({"i": at, "x": pa.array(held)})
@@ -345,7 +399,7 @@ def evaluate(*arrays: Array) -> list[np.ndarray]:
     """All arrays on the driver; those over the same rows in one pass."""
     if len({id(a.rows) for a in arrays}) != 1:
         return [a.asndarray() for a in arrays]
-    table = arrays[0].rows.select("i", *[a.value().alias(f"a{k}") for k, a in enumerate(arrays)]).orderBy("i").toArrow().combine_chunks()
+    table = arrays[0].held(*arrays[1:]).select("i", *[a.value().alias(f"a{k}") for k, a in enumerate(arrays)]).orderBy("i").toArrow().combine_chunks()
     out = []
     for k, a in enumerate(arrays):
         column = table.column(k + 1).combine_chunks()
@@ -375,6 +429,27 @@ def joined(a: Array, b: Array) -> tuple[Array, Array]:
     return over(a, "a"), over(b, "b")
 
 
+_row_numbers = itertools.count()
+
+
+class Row:
+    """A vector as a row operand of a matrix: a scalar subquery puts its values into one array when the plan runs, so
+    nothing runs before.  It is as long as a row, or one long."""
+
+    def __init__(self, vector: Array, width: int):
+        n = len(vector)
+        if n not in (1, width):
+            raise ValueError(f"operands could not be broadcast together: widths {n} and {width}")
+        self.vector, self.width, self.wide, self.dtype = vector.densified(), width, n == width, vector.dtype
+        self.name = f"_row{next(_row_numbers)}"
+
+    def column(self) -> Column:
+        gathered = self.vector.to_df().agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+        if not self.wide:
+            gathered = gathered.select(F.array_repeat(F.get("v", F.lit(0)), self.width).alias("v"))
+        return gathered.scalar()
+
+
 def _row_literal(values: np.ndarray) -> Column:
     if len(values) > LITERAL_WIDTH:
         raise ValueError(f"a row operand has at most {LITERAL_WIDTH} values")
@@ -407,16 +482,16 @@ def apply_ufunc(ufunc: np.ufunc, *inputs) -> Array:
         a, b = parts
         if a.ndim != b.ndim:  # a 1-D operand is a row of the other
             one = 0 if a.ndim == 1 else 1
-            row = parts[one].asndarray()
-            parts[one] = row
+            parts[one] = Row(parts[one], parts[1 - one].width)
         else:
             parts = list(joined(a, b))
     made = [p for p in parts if isinstance(p, Array)]
     base = builtins.max(made, key=lambda a: (a.ndim, a.width or 0))
     width = base.width
-    leaves, scalars, readers, kinds = [], [], [], []
+    leaves, scalars, readers, kinds, operands = [], [], [], [], {}
     for p in parts:
         if isinstance(p, Array):
+            operands |= p.operands
             start, wide = len(scalars), p.width
             if p.ndim == 2 and wide != width and wide != 1:
                 raise ValueError(f"operands could not be broadcast together: widths {wide} and {width}")
@@ -432,6 +507,11 @@ def apply_ufunc(ufunc: np.ufunc, *inputs) -> Array:
                 scalars += p.scalars
                 readers.append(lambda e, s, build=p.build, places=places, m=start, z=len(scalars): build([e[k] for k in places], s[m:z]))
             kinds.append(p.dtype)
+        elif isinstance(p, Row):
+            leaves.append(F.col(p.name))
+            operands[p.name] = p
+            readers.append(lambda e, s, k=len(leaves) - 1: e[k])
+            kinds.append(p.dtype)
         elif isinstance(p, np.ndarray):
             if len(p) not in (1, width):
                 raise ValueError(f"operands could not be broadcast together: widths {len(p)} and {width}")
@@ -453,7 +533,7 @@ def apply_ufunc(ufunc: np.ufunc, *inputs) -> Array:
     if not leaves and base.ndim == 2:
         raise ValueError("no operand has columns")
     if not ufuncs.has_expression(ufunc, loop_kinds):
-        return _by_arrow(ufunc, base, leaves, scalars, readers, held, loop_kinds)
+        return _by_arrow(ufunc, base._like(operands=operands), leaves, scalars, readers, held, loop_kinds)
     lead = next((k for k, c in enumerate(leaves) if c is base.leaves[0]), 0) if leaves else 0  # a real column leads
 
     def build(e: list[Column], s: list[Column]) -> Column:
@@ -464,7 +544,7 @@ def apply_ufunc(ufunc: np.ufunc, *inputs) -> Array:
         return ufuncs.expression(ufunc, args, given)
 
     ordered = [leaves[lead], *leaves[:lead], *leaves[lead + 1 :]] if leaves else []
-    return base._like(leaves=ordered, scalars=scalars, build=build, dtype=ufuncs.loop_dtypes(ufunc, loop_kinds)[-1])
+    return base._like(leaves=ordered, scalars=scalars, build=build, dtype=ufuncs.loop_dtypes(ufunc, loop_kinds)[-1], operands=operands)
 
 
 def _by_arrow(ufunc: np.ufunc, base: Array, leaves, scalars, readers, held, loop_kinds) -> Array:
@@ -486,18 +566,24 @@ def _by_arrow(ufunc: np.ufunc, base: Array, leaves, scalars, readers, held, loop
                 columns.append(loop_kinds[k](values[0]) if scalar[k] and len(values) else values)
             with np.errstate(all="ignore"):
                 got = np.asarray(ufunc(*columns)) if batch.num_rows else np.zeros(0, out)
-            got = pa.array(got.astype({"u1": "i2", "u2": "i4", "u4": "i8", "f2": "f4"}.get(out.str[1:], out)))
+            got = pa.array(got.astype(HELD.get(out.str[1:], out)))
             result = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), got) if wide else got
             yield pa.RecordBatch.from_arrays([batch.column(0), result], names=["i", "v" if wide else "x"])
 
-    rows = base.rows.select("i", *parts).mapInArrow(run, f"i bigint, v array<{kind}>" if wide else f"i bigint, x {kind}")
+    rows = base.held().select("i", *parts).mapInArrow(run, f"i bigint, v array<{kind}>" if wide else f"i bigint, x {kind}")
     return from_rows(rows, out, base.width, base._n, base.dense, base.chunk_rows)
 
 
 def matmul(a: Array, b) -> Array:
-    """a @ b for a matrix or vector b that is on the driver (or small enough to go there): one product an Arrow batch."""
+    """a @ b.  b on the driver, or an array of at most PRODUCT_SIZE elements, goes whole to the executors, with one product
+    an Arrow batch; a larger array is joined on the inner position, and products are summed by place."""
     if not isinstance(a, Array) or a.ndim != 2:
         raise TypeError("the left operand must be a two-dimensional array of rows")
+    if isinstance(b, Array):
+        if len(b) != a.width:
+            raise ValueError(f"operands could not be multiplied: widths {a.width} and {b.shape}")
+        if b.size > PRODUCT_SIZE:
+            return _joined_product(a, b)
     b = np.asarray(b)
     if b.ndim not in (1, 2) or b.shape[0] != a.width:
         raise ValueError(f"operands could not be multiplied: widths {a.width} and {b.shape}")
@@ -508,7 +594,7 @@ def matmul(a: Array, b) -> Array:
         for batch in batches:
             values = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).astype(dtype).reshape(-1, width)
             got = (values @ b).astype(out)
-            flat = pa.array(got.ravel().astype({"u1": "i2", "u2": "i4", "u4": "i8", "f2": "f4"}.get(out.str[1:], out)))
+            flat = pa.array(got.ravel().astype(HELD.get(out.str[1:], out)))
             result = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * b.shape[1], pa.int32()), flat) if wide else flat
             yield pa.RecordBatch.from_arrays([batch.column(0), result], names=["i", "v" if wide else "x"])
 
@@ -516,8 +602,50 @@ def matmul(a: Array, b) -> Array:
     return from_rows(rows, out, b.shape[1] if wide else None, a._n, a.dense, a.chunk_rows)
 
 
+def _joined_product(a: Array, b: Array) -> Array:
+    """Rows i of a meet rows k of b where a's element k is; the products of (i, j) are added, before the shuffle as far as they meet."""
+    out = np.result_type(a.dtype, b.dtype)
+    kind = dt.spark_type(out)
+    left = a.to_long().select("i", F.col("j").cast("bigint").alias("k"), F.col("x").cast(kind).alias("x"))
+    right = b.densified().to_long()
+    right = right.select(F.col("i").alias("k"), *(["j"] if b.ndim == 2 else [F.lit(0).alias("j")]), F.col("x").cast(kind).alias("y"))
+    places = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).cast(kind).alias("x"))
+    if b.ndim == 1:
+        return from_rows(places.select("i", "x"), out, None, a._n, a.dense, a.chunk_rows)
+    rows = places.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("v"))
+    return from_rows(rows, out, b.width, a._n, a.dense, a.chunk_rows)
+
+
+def _frexp(x: Array) -> tuple:
+    """Mantissas in [0.5, 1) with the sign, and exponents; zero, NaN and infinity are their own mantissas, with exponent 0."""
+    x = x if x.dtype.kind == "f" else x.astype(float)
+    build, kind = x.build, dt.spark_type(x.dtype)
+
+    def parts(v: Column, body: Callable[[Column, Column], Column]) -> Column:
+        """body(mantissa, exponent) of v: an estimate by the logarithm, set right by one step either way."""
+        small = F.abs(v) < F.lit(2.0**-1000)  # subnormals are scaled up first
+        scaled, off = F.when(small, v * F.lit(2.0**100)).otherwise(v), F.when(small, F.lit(-100)).otherwise(F.lit(0))
+
+        def found(s: Column) -> Column:
+            def settled(e: Column) -> Column:
+                half = F.pow(F.lit(2.0), F.floor(e / 2).cast("double"))  # two factors: neither leaves the range of doubles
+                m = s / half / F.pow(F.lit(2.0), (e - F.floor(e / 2)).cast("double"))
+                return let(m, lambda m: F.when(F.abs(m) >= 1, body(m / 2, e + 1 + off)).when(F.abs(m) < 0.5, body(m * 2, e - 1 + off)).otherwise(body(m, e + off)))
+
+            return let((F.floor(F.log2(F.abs(s))) + 1).cast("bigint"), settled)
+
+        plain = (v == 0) | F.isnan(v) | (F.abs(v) == float("inf"))
+        return F.when(plain, body(v, F.lit(0).cast("bigint"))).otherwise(let(scaled, found))
+
+    mantissa = x._like(build=lambda e, s: let(build(e, s).cast("double"), lambda v: parts(v, lambda m, k: m)).cast(kind))
+    exponent = x._like(build=lambda e, s: let(build(e, s).cast("double"), lambda v: parts(v, lambda m, k: k)).cast("int"), dtype=np.int32)
+    return mantissa, exponent
+
+
 def _two_outputs(ufunc: np.ufunc, inputs) -> tuple:
-    """divmod and modf by their parts."""
+    """divmod, modf and frexp by their parts."""
+    if ufunc is np.frexp:
+        return _frexp(inputs[0])
     if ufunc is np.divmod:
         return np.floor_divide(*inputs), np.remainder(*inputs)
     if ufunc is np.modf:

@@ -92,8 +92,7 @@ def _rows(array: Array, item):
     if isinstance(item, Array):
         if item.dtype == bool:
             array, item = joined(array, item)
-            known = item.value()
-            return _moved(array, array.rows.where(known), None, False)
+            return _moved(array, item.held().where(item.value()), None, False)
         item = item.asndarray()
     values = np.asarray(item)
     if values.dtype == bool:

@@ -1,13 +1,19 @@
 import json
 import os
+import sys
+import types
+from collections import Counter
 
 import numpy as np
 import pytest
 from numpy.testing import assert_array_equal
 
+from pyspark.sql import functions as F
+
 from rowforge.functions import api as rf
 from rowforge.operators.dense import dense_index
 from rowforge.sources import zarr
+from rowforge.sources.ranges import key_ranges
 
 
 @pytest.mark.parametrize("compressor", [None, "zlib", "gzip"])
@@ -80,6 +86,27 @@ def test_mapping_store(spark, tmp_path):
     back.explain()
 
 
+def test_gcs_writer_against_a_fake(spark, tmp_path, monkeypatch):
+    """The writer gives the library path, project and token, and what it writes is read back through the same mapping."""
+    seen = {}
+
+    def system(project, token):
+        seen.update(project=project, token=token)
+        return "gcs"
+
+    def mapping(path, gcs):
+        assert gcs == "gcs"
+        root = str(tmp_path / path.replace("/", "_"))
+        os.makedirs(root, exist_ok=True)
+        return Shared(root)
+
+    monkeypatch.setitem(sys.modules, "gcsfs", types.SimpleNamespace(GCSFileSystem=system, mapping=types.SimpleNamespace(GCSMap=mapping)))
+    values = np.arange(22.0).reshape(11, 2)
+    rf.from_ndarray(spark, values).to_zarr_gcs("bucket/a.zarr", (4, 2), "some-project", "anon", ncopies=2)
+    assert seen == {"project": "some-project", "token": "anon"}
+    assert_array_equal(rf.from_zarr(spark, zarr.gcs_store("bucket/a.zarr", "some-project", "anon")).asndarray(), np.vstack([values] * 2))
+
+
 @pytest.mark.parametrize("n,chunk,want", [(12, 5, [5, 5, 2]), (12, 2, [2] * 6), (12, 6, [6, 6])])
 def test_chunk_sizes(spark, n, chunk, want):
     x = rf.from_ndarray(spark, np.arange(n)[:, None], (5, 1))
@@ -103,6 +130,23 @@ def test_dense_index_over_ranges(spark):
         dense.ROWS_A_RANGE = rows
 
 
+@pytest.mark.parametrize("kind", ["even", "skewed", "hot", "wide"])
+@pytest.mark.parametrize("ranges", [1, 2, 40, 400])
+def test_ranges_keep_order(spark, kind, ranges):
+    """Ranges ascend with the key, cover nulls, lie within their count, and a hot key's rows part by their hash."""
+    rng = np.random.default_rng(5)
+    keys = {"even": rng.permutation(4000), "skewed": (rng.pareto(0.3, 4000) * 10).clip(0, 2.0**62).astype(np.int64), "hot": np.where(rng.random(4000) < 0.6, 77, rng.integers(0, 500, 4000)), "wide": rng.choice([-(1 << 63), (1 << 63) - 1, 0, -5, 9], 4000)}[kind].tolist()
+    df = spark.createDataFrame([(None if k == 500 else int(k), n) for n, k in enumerate(keys)], "k long, n long")
+    cut = key_ranges(df, "k", ranges, hot_rows=200)
+    got = cut.place(df, "k", "r", F.xxhash64("n")).collect()
+    assert len(got) == 4000 and all(0 <= g.r < cut.count for g in got)
+    least = -(1 << 63)
+    order = sorted((least if g.k is None else g.k, g.r) for g in got)
+    assert [r for _, r in order] == sorted(r for _, r in order)
+    if kind in ("even", "hot") and ranges >= 40:
+        assert max(Counter(g.r for g in got).values()) < 4000 / ranges * 4 + 20
+
+
 def test_parquet_and_pushdown(spark, tmp_path):
     values, path = np.arange(20.0).reshape(10, 2), str(tmp_path / "p")
     rf.from_ndarray(spark, values).to_parquet(path)
