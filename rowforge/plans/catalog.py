@@ -5,7 +5,7 @@ places on both sides."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions import api as rf
+from rowforge.operators import array as arrays
+from rowforge.sources import zarr
 from rowforge.sources.staging import shared_dir
 
 QUERIES: dict[str, Callable] = {}
@@ -80,7 +82,7 @@ for _name, _make, _x in (
     ("scalar_sub", lambda e: 2 - e, "2 - x"),
     ("scalar_mul", lambda e: e * 3, "x * 3"),
     ("scalar_div", lambda e: e / 0.25, "x / 0.25"),
-    ("scalar_chained", lambda e: (((e + 1) * 2) - 4) / 1.1, "(((x + 1) * 2) - 4) / 1.1"),
+    ("scalar_chained", lambda e: 5 - (e * 0.5 - 3) / (e + 8) * 7, "5 - (x * 0.5 - 3) / (x + 8) * 7"),
     ("floor_div", lambda e: e // 0.1, "floor(x / 0.1)"),
     ("mod", lambda e: (e * 1000).round() % 7, "((round_even(x * 1000, 0) % 7) + 7) % 7"),
     ("power", lambda e: e**2, "pow(x, 2)"),
@@ -98,6 +100,11 @@ for _name, _make, _x in (
     ("fmod", lambda e: np.fmod(e * 10, 0.75), "x * 10 - trunc(x * 10 / 0.75) * 0.75"),
     ("heaviside", lambda e: np.heaviside(e, 0.5), "CASE WHEN x < 0 THEN 0 WHEN x = 0 THEN 0.5 ELSE 1 END"),
     ("same_shape_add", lambda e: e + (e - 1), "x + (x - 1)"),
+    ("fmax", lambda e: np.fmax(e, np.log(e)), "CASE WHEN x > 0 THEN greatest(x, ln(x)) ELSE x END"),
+    ("fmin", lambda e: np.fmin(np.sqrt(e), 0.2), "CASE WHEN x >= 0 THEN least(sqrt(x), 0.2) ELSE 0.2 END"),
+    ("modf_fraction", lambda e: np.modf(e * 10)[0], "x * 10 - trunc(x * 10)"),
+    ("modf_whole", lambda e: np.modf(e * 10)[1], "trunc(x * 10)"),
+    ("frexp_mantissa", lambda e: np.frexp(e)[0], "CASE WHEN x = 0 THEN 0 ELSE x / pow(2, floor(log2(abs(x))) + 1) END"),
     ("arrow_nextafter", lambda e: np.nextafter(e, 9.0), "x"),
 ):
     element(_name, _make, _x)
@@ -126,6 +133,7 @@ for _name, _make, _x in (
     ("logical_not", lambda v: np.logical_not(v - 24), "x = 24"), ("logical_xor", lambda v: np.logical_xor(v - 24, v > 30), "(x <> 24) <> (x > 30)"),
     ("bitwise_and", lambda v: v & 12, "x & 12"), ("bitwise_or", lambda v: v | 65, "x | 65"), ("bitwise_xor", lambda v: v ^ 21, "xor(x, 21)"), ("bitwise_not", lambda v: ~v, "-x - 1"), ("left_shift", lambda v: v << 3, "x << 3"), ("right_shift", lambda v: v >> 2, "x >> 2"),
     ("int_floor_div", lambda v: (v - 30) // 7, "CAST(floor((x - 30) / 7.0) AS INTEGER)"), ("int_mod", lambda v: (v - 30) % 7, "CAST((((x - 30) % 7) + 7) % 7 AS INTEGER)"), ("int_negative_mod", lambda v: v % -7, "CAST(-((7 - x % 7) % 7) AS INTEGER)"),
+    ("divmod_whole", lambda v: np.divmod(v, 7)[0], "CAST(x // 7 AS INTEGER)"), ("divmod_rest", lambda v: np.divmod(v, 7)[1], "CAST(x % 7 AS INTEGER)"), ("frexp_exponent", lambda v: np.frexp(v)[1], "CAST(floor(log2(x)) + 1 AS INTEGER)"),
     ("int_wraps", lambda v: v.astype(np.int8) * np.int8(5), "CAST(((x * 5 + 128) % 256) - 128 AS TINYINT)"), ("arrow_gcd", lambda v: np.gcd(v, 36), "CAST(gcd(x, 36) AS INTEGER)"),
 ):
     element(_name, _make, _x, sizes, "P", P_SQL, floating=False)
@@ -139,8 +147,9 @@ register("center_columns", lambda e: e - e.mean(axis=0), f"WITH {E_SQL} SELECT i
 register("scale_columns", lambda e: e / e.std(axis=0), f"WITH {E_SQL} SELECT i, j, round(x / stddev_pop(x) OVER (PARTITION BY j), 6) + 0.0 AS x FROM E", embeddings)
 register("normalize_rows", lambda e: np.exp(e) / np.sum(np.exp(e), axis=1)[:, np.newaxis], f"WITH {E_SQL} SELECT i, j, round(exp(x) / sum(exp(x)) OVER (PARTITION BY i), 6) + 0.0 AS x FROM E", embeddings)
 register("col_broadcast_add", lambda e: e + np.sum(e, axis=1)[:, np.newaxis], f"WITH {E_SQL} SELECT i, j, round(x + sum(x) OVER (PARTITION BY i), 6) + 0.0 AS x FROM E", embeddings)
+register("row_operand_array", lambda e: e * e.max(axis=0) + e[7:8].sum(axis=0), f"WITH {E_SQL} SELECT i, j, round(x * max(x) OVER (PARTITION BY j) + max(x) FILTER (i = 7) OVER (PARTITION BY j), 6) + 0.0 AS x FROM E", embeddings)
 QUERIES["cross_source_add"] = lambda spark, sf_dir: flat(_first(order_prices(spark, sf_dir), event_values(spark, sf_dir)), spark)
-ORACLE["cross_source_add"] = f"WITH {O_SQL}, {V_SQL} SELECT O.i, round(O.x + V.x, 6) + 0.0 AS x FROM O JOIN V ON O.i = V.i WHERE O.i < 5000"
+ORACLE["cross_source_add"] = f"WITH {O_SQL}, {V_SQL} SELECT O.i, round(O.x + V.x, 6) + 0.0 AS x FROM O JOIN V ON O.i = V.i"
 
 
 def _first(a, b):
@@ -195,7 +204,35 @@ for _name, _order in (("argmin", "ASC"), ("argmax", "DESC")):
     register(f"{_name}_all", lambda e, n=_name: getattr(np, n)(e), f"WITH {E_SQL} SELECT first(i * 64 + j ORDER BY x {_order}, i, j) AS x FROM E", embeddings)
 register("variance_recipe", lambda e: np.multiply(e, e).mean(axis=0) - e.mean(axis=0) ** 2, f"WITH {E_SQL} SELECT CAST(j AS BIGINT) AS i, round(avg(x * x) - pow(avg(x), 2), 6) + 0.0 AS x FROM E GROUP BY j", embeddings)
 register("log1p_colsum", lambda e: np.log1p(e).sum(axis=0), f"WITH {E_SQL} SELECT CAST(j AS BIGINT) AS i, round(sum(ln(1 + x)), 6) + 0.0 AS x FROM E GROUP BY j", embeddings)
+register("ptp_axis0", lambda e: np.ptp(e, axis=0), f"WITH {E_SQL} SELECT CAST(j AS BIGINT) AS i, round(max(x) - min(x), 6) + 0.0 AS x FROM E GROUP BY j", embeddings)
+register("nansum_axis0", lambda e: np.nansum(np.sqrt(e), axis=0), f"WITH {E_SQL} SELECT CAST(j AS BIGINT) AS i, round(sum(sqrt(x)) FILTER (x >= 0), 6) + 0.0 AS x FROM E GROUP BY j", embeddings)
+register("keepdims_axis1", lambda e: e - e.mean(axis=1, keepdims=True), f"WITH {E_SQL} SELECT i, j, round(x - avg(x) OVER (PARTITION BY i), 6) + 0.0 AS x FROM E", embeddings)
+
+# --- order ------------------------------------------------------------------------------------------------
+
 register("median_all", lambda e: float(np.median(e)), f"WITH {E_SQL} SELECT round(median(x), 6) AS x FROM E", embeddings)
+register("median_axis0", lambda e: np.median(e, axis=0), f"WITH {E_SQL} SELECT CAST(j AS BIGINT) AS i, round(median(x), 6) + 0.0 AS x FROM E GROUP BY j", embeddings)
+register("median_axis1", lambda e: np.median(e, axis=1), f"WITH {E_SQL} SELECT i, round(median(x), 6) + 0.0 AS x FROM E GROUP BY i", embeddings)
+register("percentile_axis0", lambda e: np.percentile(e, 37.5, axis=0), f"WITH {E_SQL} SELECT CAST(j AS BIGINT) AS i, round(quantile_cont(x, 0.375), 6) + 0.0 AS x FROM E GROUP BY j", embeddings)
+register("percentile_axis1", lambda e: np.percentile(e, 90, axis=1), f"WITH {E_SQL} SELECT i, round(quantile_cont(x, 0.9), 6) + 0.0 AS x FROM E GROUP BY i", embeddings)
+register("quantile_vector", lambda v: float(np.quantile(v, 0.99)), f"WITH {V_SQL} SELECT round(quantile_cont(x, 0.99), 6) AS x FROM V", event_values)
+register("cumsum_axis0", lambda e: np.cumsum(e, axis=0), f"WITH {E_SQL} SELECT i, j, round(sum(x) OVER (PARTITION BY j ORDER BY i), 6) + 0.0 AS x FROM E", embeddings)
+register("cumsum_axis1", lambda e: np.cumsum(e, axis=1), f"WITH {E_SQL} SELECT i, j, round(sum(x) OVER (PARTITION BY i ORDER BY j), 6) + 0.0 AS x FROM E", embeddings)
+register("cumsum_vector", lambda v: np.cumsum(v), f"WITH {P_SQL} SELECT i, CAST(sum(x) OVER (ORDER BY i) AS BIGINT) AS x FROM P", sizes)
+register("cumprod_axis0", lambda e: np.cumprod(e / 1000 + 1, axis=0), f"WITH {E_SQL} SELECT i, j, round(product(x / 1000 + 1) OVER (PARTITION BY j ORDER BY i), 6) + 0.0 AS x FROM E", embeddings)
+register("sort_axis1", lambda e: np.sort(e, axis=1), f"WITH {E_SQL} SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY x, j) - 1 AS INTEGER) AS j, round(x, 6) + 0.0 AS x FROM E", embeddings)
+register("argsort_axis1", lambda e: np.argsort(e, axis=1), f"WITH {E_SQL} SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY x, j) - 1 AS INTEGER) AS j, CAST(j AS BIGINT) AS x FROM E", embeddings)
+register("sort_vector", lambda v: np.sort(v), f"WITH {V_SQL} SELECT CAST(row_number() OVER (ORDER BY x, i) - 1 AS BIGINT) AS i, round(x, 6) + 0.0 AS x FROM V", event_values)
+register("argsort_vector", lambda v: np.argsort(v), f"WITH {P_SQL} SELECT CAST(row_number() OVER (ORDER BY x, i) - 1 AS BIGINT) AS i, CAST(i AS BIGINT) AS x FROM P", sizes)
+register("unique_values", lambda v: np.unique(v), f"WITH {P_SQL} SELECT CAST(row_number() OVER (ORDER BY x) - 1 AS BIGINT) AS i, x FROM (SELECT DISTINCT x FROM P)", sizes)
+
+# --- products ---------------------------------------------------------------------------------------------
+
+FACTOR = (np.arange(64 * 3).reshape(64, 3) % 7 - 3) / 4.0
+register("matmul_driver_matrix", lambda e: e @ FACTOR, f"WITH {E_SQL} SELECT i, CAST(k AS INTEGER) AS j, round(sum(x * ((j * 3 + k) % 7 - 3) / 4.0), 6) + 0.0 AS x FROM E CROSS JOIN range(3) r(k) GROUP BY i, k", embeddings)
+_PRODUCT = f"WITH {E_SQL} SELECT a.i, b.j, round(sum(a.x * b.x), 6) + 0.0 AS x FROM E a JOIN E b ON a.j = b.i WHERE b.i < 64 GROUP BY a.i, b.j"
+register("matmul_arrays", lambda e: e @ e[:64], _PRODUCT, embeddings)
+register("matmul_joined", lambda e: arrays._joined_product(e, e[:64]), _PRODUCT, embeddings)
 register("int_sum", lambda v: v.sum(), f"WITH {P_SQL} SELECT CAST(sum(x) AS BIGINT) AS x FROM P", sizes)
 register("int_max", lambda v: v.max().astype(int), f"WITH {P_SQL} SELECT CAST(max(x) AS BIGINT) AS x FROM P", sizes)
 register("count_nonzero_axis0", lambda c: np.count_nonzero(c > 10, axis=0), f"WITH {C_SQL} SELECT CAST(j AS BIGINT) AS i, count(*) FILTER (x > 10) AS x FROM C GROUP BY j", customers)
@@ -210,16 +247,18 @@ register("repartition_sizes", lambda v: v.repartition(700).chunk_sizes(700), f"W
 register("repartition_after_mask", lambda v: v[v > 10].chunk_sizes(500), f"WITH {P_SQL} SELECT CAST(k // 500 AS BIGINT) AS chunk, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY i) - 1 AS k FROM P WHERE x > 10) GROUP BY 1", sizes)
 
 
-def _stored(array, spark, chunk: int, ncopies: int = 1):
-    folder = shared_dir(spark)
-    root = folder if folder.startswith("file:") else tempfile.gettempdir()
-    path = f"{tempfile.mkdtemp(dir=root.removeprefix('file://'))}/a.zarr"
-    array.to_zarr(path, (chunk, array.width), ncopies)
-    return rf.from_zarr(spark, path)
+def _stored(array, spark, chunk: int, ncopies: int = 1, mapping: bool = False):
+    """The array written and read back, in the folder that driver and executors share and nowhere else."""
+    path = f"{zarr.local_path(shared_dir(spark))}/zarr/{uuid.uuid4().hex}"
+    store = zarr.Folder(path) if mapping else path
+    array.to_zarr(store, (chunk, array.width), ncopies)
+    return rf.from_zarr(spark, store)
 
 
 QUERIES["zarr_roundtrip"] = lambda spark, sf_dir: flat(_stored(embeddings(spark, sf_dir) * 2, spark, 128), spark)
 ORACLE["zarr_roundtrip"] = f"WITH {E_SQL} SELECT i, j, round(x * 2, 6) + 0.0 AS x FROM E"
+QUERIES["zarr_mapping"] = lambda spark, sf_dir: flat(_stored(embeddings(spark, sf_dir) - 1, spark, 100, mapping=True), spark)
+ORACLE["zarr_mapping"] = f"WITH {E_SQL} SELECT i, j, round(x - 1, 6) + 0.0 AS x FROM E"
 QUERIES["zarr_ncopies"] = lambda spark, sf_dir: flat(_stored(customers(spark, sf_dir), spark, 100, 3), spark)
 ORACLE["zarr_ncopies"] = f"WITH {C_SQL} SELECT CAST(i + k * (SELECT max(i) + 1 FROM C) AS BIGINT) AS i, j, round(x, 6) + 0.0 AS x FROM C CROSS JOIN range(3) r(k)"
 

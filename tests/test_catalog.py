@@ -8,7 +8,7 @@ import pytest
 from rowforge.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["log1p_colsum", "normalize_rows", "row_take_ints", "argmax_all", "repartition_after_mask", "zarr_ncopies", "evaluate_many", "int_wraps", "cross_source_add"]
+SOME = ["log1p_colsum", "normalize_rows", "row_take_ints", "argmax_all", "repartition_after_mask", "zarr_ncopies", "evaluate_many", "int_wraps", "cross_source_add", "median_axis0", "percentile_axis1", "quantile_vector", "cumsum_axis0", "cumsum_vector", "cumprod_axis0", "argsort_axis1", "sort_vector", "argsort_vector", "unique_values", "matmul_joined", "matmul_arrays", "row_operand_array", "frexp_mantissa", "frexp_exponent", "zarr_mapping", "fmax", "fmin"]
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,16 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_row_operands_are_lazy(spark):
+    """A row operand that is an array itself runs as a subquery of the one plan: no job runs while it is made."""
+    x = catalog.embeddings(spark, SF)
+    spark.sparkContext.setJobGroup("making", "")
+    made = ((x - x.mean(axis=0)) / x.std(axis=0)).to_df()
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("making")
+    spark.sparkContext.setJobGroup("other", "")
+    assert "Subquery" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plans(spark):
     """No join and one scan where operands share rows; slices reach the scan."""
     one = catalog.QUERIES["normalize_rows"](spark, SF)._jdf.queryExecution().executedPlan().toString()
