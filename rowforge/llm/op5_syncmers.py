@@ -6,12 +6,17 @@ s pieces in it, the one with the least hash is the first or the last.  That depe
 fingerprint is its distinct anchors in the order of their first places, as 32-bit hashes; likeness is the
 Jaccard index of two fingerprints' anchors.
 
-The next document of each is found without one global sort: ids are cut into ranges at quantiles, the first
-document of the range below is copied to the end of each range, and a window in each range reads ahead.
+A text of fewer than k pieces, and one none of whose windows is an anchor, has its whole sequence of pieces as its
+only anchor, so only a text without any piece has an empty fingerprint.
 
-Defined cases: null and empty texts have an empty fingerprint, like only to another empty one (1.0); a text of
-fewer than k pieces has one anchor, its whole sequence; rows with equal ids are ordered by text, and a repeated
-row may be the next of its copy; null ids come last; a single row is its own next; an empty table gives none.
+The next document of each is found without one global sort: ids are cut into ranges at quantiles (an id or null that
+fills whole ranges is cut further by a hash of the text), the first document of each range is copied to the end of the
+range before it in descending order, and a window in each range reads ahead.
+
+Defined cases: null and empty texts have an empty fingerprint, like only to another empty one (1.0); rows with equal ids
+are ordered by text (those of an id that fills whole ranges by a hash first), and a repeated
+row may be the next of its copy; null ids come last; a single row is its own next; very long texts are read whole; other
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +26,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowforge.sources.ranges import quantile_bounds, range_bucket
+from rowforge.sources.ranges import key_ranges
 
-K_PIECES, S_PIECES, RANGE_BYTES = 5, 2, 8 << 20
+K_PIECES, S_PIECES, RANGE_BYTES = 5, 2, 2 << 20
 PIECE = r"[^ \t\n\x0B\f\r]{1,4}"
 
 
@@ -65,7 +70,9 @@ def fingerprint(text: Column, k: int = K_PIECES, s: int = S_PIECES) -> Column:
         runs = F.transform(words, lambda w: F.xxhash64(w)) if s == 1 else None
         for j in range(1, s):
             runs = F.zip_with(shifted(0) if runs is None else runs, shifted(j), lambda a, b: F.xxhash64(a, b))
-        return F.when(F.size(words) >= k, _let(runs, anchors)).when(F.size(words) > 0, F.array(F.hash(F.array_join(words, "\n")))).otherwise(F.array().cast("array<int>"))
+        whole = F.array(F.hash(F.array_join(words, "\n")))
+        closed = _let(_let(runs, anchors), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+        return F.when(F.size(words) >= k, closed).when(F.size(words) > 0, whole).otherwise(F.array().cast("array<int>"))
 
     return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), 0), of_words)
 
@@ -84,15 +91,18 @@ def printed(fp: Column) -> Column:
 def next_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, text, fp, next_text, next_fp of every row: the next in descending doc_id, after the last the first."""
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    size, most = source.agg(F.sum(F.octet_length("text")), F.max("doc_id")).first()
-    ranges = max(64, -(-(size or 0) // range_bytes))
-    bounds = [b for b in quantile_bounds(source, "doc_id", ranges) if b < most]
-    bucket = range_bucket(F.col("doc_id"), bounds)
-    here = F.struct(bucket.alias("bucket"), F.lit(False).alias("copy"))
-    above = F.when(F.col("doc_id").isin(bounds), F.struct((bucket + 1).alias("bucket"), F.lit(True).alias("copy")))
-    round_ = F.when(F.col("doc_id").eqNullSafe(F.lit(most).cast("long")), F.struct(F.lit(0).alias("bucket"), F.lit(True).alias("copy")))
-    placed = source.withColumn("place", F.explode(F.array_compact(F.array(here, above, round_) if bounds else F.array(here, round_))))
-    dealt = placed.select(F.col("place.bucket").alias("bucket"), F.col("place.copy").alias("copy"), "doc_id", "text").repartition(ranges, "bucket")
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = key_ranges(source, "doc_id", max(64, -(-size // range_bytes)))
+    placed = ranges.place(source, "doc_id", "bucket", F.xxhash64("text"))
+    # The first row of each range: by id, then among those rows by text.  At most one a range is sent on.
+    down = F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))
+    firsts = placed.groupBy("bucket").agg(F.min(down).alias("top"))
+    order = Window.orderBy("bucket")  # a row a range
+    onto = firsts.select("bucket", "top", F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
+    ties = placed.withColumn("top", down).join(F.broadcast(onto), ["bucket", "top"])
+    heads = ties.groupBy("to").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "text")).alias("one"))
+    copies = heads.select(F.lit(None).cast("long").alias("doc_id"), F.col("one.text").alias("text"), F.col("to").alias("bucket"), F.lit(True).alias("copy"))
+    dealt = placed.select("doc_id", "text", "bucket", F.lit(False).alias("copy")).unionByName(copies).repartition(max(64, ranges.count), "bucket")
     ahead = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("doc_id"), "text")
     printed_ = dealt.withColumn("fp", fingerprint(F.col("text")))
     return printed_.withColumns({"next_text": F.lead("text").over(ahead), "next_fp": F.lead("fp").over(ahead)}).where("not copy").drop("bucket", "copy")

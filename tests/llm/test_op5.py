@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -54,6 +56,59 @@ def test_anchors_are_closed_syncmers_and_context_free(spark):
         assert 0 < len(whole.f) <= n
 
 
+def anchors(spark, texts, k, s):
+    """Closed syncmers by plain loops: of each window of k pieces, kept where the least hash of its runs of s is first or last."""
+    from pyspark.sql import functions as F
+
+    pieces = [[w[a : a + 4] for w in re.findall(r"[^\x20\x09-\x0D]+", t) for a in range(0, len(w), 4)] for t in texts]
+
+    def hashed(rows, f):
+        width = len(rows[0]) if rows else 1
+        df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n long, " + ", ".join(f"c{j} {'string' if isinstance(rows[0][j], str) else 'long'}" for j in range(width)))
+        return [r[1] for r in df.select("n", f(*[F.col(f"c{j}") for j in range(width)])).orderBy("n").collect()]
+
+    flat = [(n, i) for n, p in enumerate(pieces) for i in range(len(p) - s + 1)]
+    runs = [pieces[n][i] for n, i in flat]
+    for j in range(1, s):
+        runs = hashed([(r, pieces[n][i + j]) for r, (n, i) in zip(runs, flat)], F.xxhash64)
+    if s == 1:
+        runs = hashed([(r,) for r in runs], F.xxhash64)
+    run = dict(zip(flat, runs))
+    windows = [(n, i) for n, p in enumerate(pieces) for i in range(len(p) - k + 1) if min(run[n, i + j] for j in range(k - s + 1)) in (run[n, i], run[n, i + k - s])]
+    parts = sorted({*range(0, k - s + 1, s), k - s})
+    names = hashed([tuple(run[n, i + p] for p in parts) for n, i in windows], F.hash) if windows else []
+    whole = hashed([("\n".join(p),) for p in pieces], F.hash)
+    out = []
+    for n, p in enumerate(pieces):
+        own = list(dict.fromkeys(h for (m, _), h in zip(windows, names) if m == n))
+        out.append([] if not p else own or [whole[n]])
+    return out
+
+
+@pytest.mark.parametrize("k,s", [(5, 2), (4, 1), (6, 3)])
+def test_exact_anchor_sets(spark, k, s):
+    """All lengths from 0 to 20 pieces, ten texts each, and repetitive ones: the very anchors, in order, none empty but without pieces."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(k)
+    texts = [" ".join(rng.choice(["ab", "cdé", "xyzw", "日本", "longerword"]) for _ in range(n)) for n in range(21) for _ in range(10)] + ["", " \n", "a " * 40, "x" * 41, "\u00a0"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, t string").select("n", op.fingerprint(F.col("t"), k, s).alias("f")).orderBy("n").collect()
+    want = anchors(spark, texts, k, s)
+    assert [r.f for r in rows] == want
+    assert all(bool(r.f) == bool(t.strip(" \n")) for r, t in zip(rows, texts))
+
+
+def test_hot_ids_part(spark):
+    """An id and a null that fill whole ranges: every row has one next, in one round through all rows."""
+    rows = [(7, f"text {k} here") for k in range(3000)] + [(None, f"copy {k % 3}") for k in range(2000)] + [(k, f"other {k}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op.next_documents(docs, 1 << 10).select("doc_id", "text", "next_text").collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((i or -1, t) for i, t in rows)
+    assert Counter(r.next_text for r in got) == Counter(t for _, t in rows)
+    by = {r.text: r.next_text for r in got if r.doc_id is not None and r.doc_id != 7}
+    assert by["other 499"] == "other 498" and by["other 8"].startswith("text ") and by["other 6"] == "other 5" and by["other 0"].startswith("copy ")
+
+
 @pytest.mark.parametrize("data", [[], [(1, "a b c d e f g h", 1)], [(None, "a", 1), (None, None, 2)]])
 def test_small_tables(spark, data):
     docs = spark.createDataFrame(data, "doc_id long, text string, x int")
