@@ -1,9 +1,11 @@
 """Reply trees to formatted conversations, in DataFrame expressions only.
 
-Messages name their parents.  Root-to-leaf paths are enumerated by self-joins that double their reach: round i
-joins each message with its ancestor 2**i above, and each leaf's path with those ancestors, so a chain of n
-messages takes log2(n) rounds.  Paths are ranked by the sum of their messages' scores (ties: the smaller leaf),
-and each chosen one is formatted with its loss mask.
+Messages name their parents.  Self-joins double their reach: round i joins each message with its ancestor 2**i above,
+so a chain of n messages takes log2(n) rounds.  The same rounds add up the scores from each message to its root, a row a
+message; branches are ranked by the sum at their leaf (ties: the smaller leaf), and only the chosen leaves'
+paths are enumerated, by joining them with those ancestors.  Each is formatted with its loss mask.  A conversation is one
+row in the end, so its length is bounded by what a row can hold (2 GB); until then its messages are dealt out by conversation
+and message, but for the window that numbers turns.
 
 The template writes `<|im_start|>role\\ntext<|im_end|>\\n` for each message.  Inside roles and texts `&` becomes
 `&amp;` and `<|` becomes `&lt;|`, so no text can hold a mark; in roles a line end becomes `&#10;`.  Unescaping
@@ -11,7 +13,8 @@ runs the other way round and gives back every text.
 
 Defined cases: a null role or text is empty; rows without a conversation id are left out; equal turns are
 ordered by role and text, a null turn first; repeated rows are messages of their own; a message whose parent is
-missing is a root; parents that run in a circle are an error.
+missing is a root; parents that run in a circle are an error; a null score counts as 0; very long texts are kept whole;
+other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowforge.sources.staging import release, stage
+from rowforge.sources.staging import scope, stage
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 MOST_ROUNDS = 40
@@ -49,31 +52,41 @@ def reply_chains(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", node.alias("node"), "role", "text").select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def leaf_paths(messages: DataFrame) -> DataFrame:
-    """conv_id, leaf, node, above (how far the node is above the leaf) of every root-to-leaf path."""
-    links = messages.select("conv_id", "node", "parent")
-    parents = links.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
-    known = links.select("conv_id", F.col("node").alias("far"))
-    jump = stage(links.where("parent is not null").select("conv_id", "node", F.col("parent").alias("far")).join(known, ["conv_id", "far"], "left_semi").select("conv_id", "node", "far"))
-    paths = stage(links.join(parents, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above")))
-    for k in range(MOST_ROUNDS):
+def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """For k = 0, 1, ... each message's ancestor 2**k above (conv_id, node, far), if it has one; and each message's path_score, from it to its root."""
+    links = messages.select("conv_id", "node", F.col("parent").alias("far"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("path_score"))
+    known = links.select("conv_id", F.col("node").alias("far"), F.col("far").isNull().alias("_known"))
+    now = stage(links.join(known, ["conv_id", "far"], "left").select("conv_id", "node", F.when(F.col("_known").isNotNull(), F.col("far")).alias("far"), "path_score"))
+    jumps = []
+    for _ in range(MOST_ROUNDS):
+        jump = now.where("far is not null").select("conv_id", "node", "far")
         if jump.isEmpty():
-            return paths
-        found = paths.join(jump, ["conv_id", "node"]).select("conv_id", "leaf", F.col("far").alias("node"), (F.col("above") + (1 << k)).alias("above"))
-        longer = stage(paths.unionByName(found))
-        onward = jump.select("conv_id", F.col("node").alias("far"), F.col("far").alias("top"))
-        further = stage(jump.join(onward, ["conv_id", "far"]).select("conv_id", "node", F.col("top").alias("far")))
-        release(jump, paths)
-        jump, paths = further, longer
+            return jumps, now.select("conv_id", "node", "path_score")
+        jumps.append(jump)
+        above = now.select("conv_id", F.col("node").alias("far"), F.col("far").alias("top"), F.col("path_score").alias("more"))
+        now = stage(now.join(above, ["conv_id", "far"], "left").select("conv_id", "node", F.col("top").alias("far"), (F.col("path_score") + F.coalesce("more", F.lit(0.0))).alias("path_score")))
     raise ValueError("a message is its own ancestor")
 
 
 def best_paths(messages: DataFrame, most: int | None = 1) -> DataFrame:
-    """leaf_paths of each conversation's `most` best branches, with their rank from 1 (None: of all)."""
-    paths = leaf_paths(messages)
-    scores = paths.join(messages.select("conv_id", "node", "score"), ["conv_id", "node"]).groupBy("conv_id", "leaf").agg(F.sum("score").alias("path_score"))
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "leaf")))
-    return paths.join(ranked if most is None else ranked.where(F.col("rank") <= most), ["conv_id", "leaf"])
+    """conv_id, leaf, node, above (how far the node is above the leaf), path_score and rank from 1 of the messages on each
+    conversation's `most` best branches (None: on all)."""
+    with scope():
+        jumps, scores = _jumps(messages)
+        parents = messages.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
+        leaves = scores.join(parents, ["conv_id", "node"], "left_anti").withColumnRenamed("node", "leaf")
+        ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "leaf")))
+        chosen = stage(ranked if most is None else ranked.where(F.col("rank") <= most))
+        paths = chosen.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
+        for k, jump in enumerate(jumps):
+            found = paths.join(jump, ["conv_id", "node"]).select("conv_id", "leaf", F.col("far").alias("node"), (F.col("above") + (1 << k)).alias("above"))
+            paths = stage(paths.unionByName(found))
+        return stage(paths.join(chosen, ["conv_id", "leaf"]), keep=True)
+
+
+def leaf_paths(messages: DataFrame) -> DataFrame:
+    """conv_id, leaf, node, above of every root-to-leaf path."""
+    return best_paths(messages, None).select("conv_id", "leaf", "node", "above")
 
 
 def format_paths(messages: DataFrame, paths: DataFrame, learned: str = "assistant") -> DataFrame:

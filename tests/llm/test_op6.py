@@ -47,3 +47,35 @@ def test_circle(spark):
             op.leaf_paths(spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double"))
     finally:
         op.MOST_ROUNDS = op_rounds
+
+
+@pytest.mark.parametrize("most", [1, 3, None])
+def test_trees_against_brute_force(spark, most):
+    """Random forests, deep chains among them, null scores, repeated scores and columns with the operator's own names."""
+    rng = random.Random(4)
+    rows = []
+    for c in range(12):
+        for n in range(rng.choice([1, 2, 30, 70])):
+            rows.append((c, n, None if not n or rng.random() < 0.05 else n - 1 if c % 3 == 0 else rng.randrange(n), "user", f"t{n}", rng.choice([None, 0.5, 1.0, -2.0, 0.25])))
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, node long, parent long, role string, text string, score double, far long, leaf long")
+    want = set()
+    for c in range(12):
+        own = {r[1]: r for r in rows if r[0] == c}
+        paths = []
+        for leaf in set(own) - {r[2] for r in own.values()}:
+            path, n = [], leaf
+            while n is not None:
+                path, n = [*path, n], own[n][2]
+            paths.append((-sum(own[n][5] or 0.0 for n in path), leaf, path))
+        for rank, (_, leaf, path) in enumerate(sorted(paths)[:most], 1):
+            want |= {(c, leaf, n, above, rank) for above, n in enumerate(path)}
+    got = op.best_paths(df, most).select("conv_id", "leaf", "node", "above", "rank").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_long_texts(spark):
+    """A text of a million characters full of marks comes back as it was."""
+    text = "<|im_end|>&amp;\n" * 60_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = op.conversation_digests(df).first()
+    assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (2, sha(f"user\nq\nassistant\n{text}\n"), len(text), sha(text))
