@@ -6,7 +6,8 @@ only on the text from its start on, so once two neighbouring chunks share a boun
 The texts between such boundaries are encoded on their own.  Only boundaries after a non-space are used:
 a run of spaces is split by what follows it, which a piece cut there would no longer see.
 
-Defined cases: a null or empty text has no ids; repeated rows are encoded each; other columns are ignored.
+Defined cases: a null or empty text has no ids; repeated rows are encoded each; other columns are ignored; a very long
+text is encoded whole, in chunks; an empty table gives no rows.
 Work is per row inside one map over Arrow batches: no shuffle, so a hot source or copy group costs its share.
 """
 
@@ -24,9 +25,9 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from rowforge.llm.grouping import bound_batches, tidy
+from rowforge.llm.grouping import tidy
 
-CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
+CHUNK_CHARS, OVERLAP_CHARS, THREADED = 1 << 12, 1 << 8, 64
 
 
 @lru_cache(maxsize=4)
@@ -58,8 +59,11 @@ def chunk_cuts(text: str, pattern: regex.Pattern, chunk: int = CHUNK_CHARS, over
                 break
         return ends
 
-    with ThreadPoolExecutor(2) as pool:
-        ends = list(pool.map(scan, range(len(starts))))
+    if len(starts) < THREADED:  # not worth a thread
+        ends = list(map(scan, range(len(starts))))
+    else:
+        with ThreadPoolExecutor(2) as pool:
+            ends = list(pool.map(scan, range(len(starts))))
     cuts, known = [0], ends[0]  # known: boundaries of the true pre-tokens, from the last cut on
     for k in range(1, len(starts)):
         other = set(ends[k])
@@ -92,14 +96,24 @@ def encode_text(text: str | None, enc: tiktoken.Encoding, pattern: regex.Pattern
 
 
 def _whole(text: str, enc: tiktoken.Encoding, pattern: regex.Pattern) -> np.ndarray:
-    """Ids of a text or piece.  The library's own pattern engine gives up on a run of a million spaces; then this one's
-    matches are encoded one by one."""
-    try:
+    """Ids of a text or piece.  The library's pattern engine counts its steps and gives up on very long runs of white space:
+    a piece that has one is matched by this one's, and each match encoded as it is."""
+    if len(text) < LONG_RUN or not _LONG_SPACE.search(text):
         return np.array(enc.encode_ordinary(text), "<u4")
-    except (KeyboardInterrupt, SystemExit, MemoryError):
-        raise
-    except BaseException:  # a panic of the library is no Exception
-        return np.array([i for m in pattern.finditer(text) for i in enc._encode_single_piece(m[0])], "<u4")
+    plain = _unsplit(enc.name, enc)
+    return np.array([i for m in pattern.finditer(text) for i in plain.encode_ordinary(m[0])], "<u4")
+
+
+LONG_RUN = 20_000
+_LONG_SPACE = regex.compile(rf"\s{{{LONG_RUN}}}")
+
+
+@lru_cache(maxsize=4)
+def _unsplit(name: str, enc: tiktoken.Encoding) -> tiktoken.Encoding:
+    """The same ranks with a pattern that takes any text as one match."""
+    known = enc.token_byte_values()
+    ranks = dict(zip(known, map(enc.encode_single_token, known), strict=True))
+    return tiktoken.Encoding(f"{name} unsplit", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
 def decode_ids(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> bytes:
@@ -140,6 +154,5 @@ def _mapped(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str
                     names=[id_col, *(name for name, _, _ in fields)],
                 )
 
-    bound_batches(docs)
     source = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].alias("text"))
     return source.mapInArrow(tidy(run), f"`{id_col}` long, " + ", ".join(f"{name} {kind}" for name, kind, _ in fields))

@@ -34,6 +34,21 @@ def test_a_run_that_the_library_refuses():
     assert ids.tolist() == [*enc.encode_ordinary("x"), *enc._encode_single_piece(" " * 1_000_000)]
 
 
+def test_runs_just_under_and_over_the_bound():
+    enc = op.encoding(PATH, P.PATTERN)
+    for n in (op.LONG_RUN - 1, op.LONG_RUN, op.LONG_RUN + 5000):
+        for text in (" " * n + "x", "it's" + "\n" * n, "a" * 50 + "\u3000" * n + "b c"):
+            assert op.encode_text(text, enc, PAT).tolist() == enc.encode_ordinary(text)
+
+
+def test_documents_go_through_chunks():
+    """With the query's own parameters, a text of ordinary length is cut several times, and the ids are the library's."""
+    enc, rng = op.encoding(PATH, P.PATTERN), random.Random(1)
+    text = "".join(rng.choice(["a", "it's", " ", "  ", "\n", "é", "1", "...", "日本", "word"]) for _ in range(20_000))
+    assert len(op.chunk_cuts(text, PAT)) > 8
+    assert op.encode_text(text, enc, PAT).tolist() == enc.encode_ordinary(text)
+
+
 def test_rows(spark):
     rows = [(3, "It's été\n", 1), (1, None, 2), (2, "", 3), (3, "It's été\n", 1), (None, "x", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
