@@ -5,11 +5,14 @@
    Two sets that are similar enough share an n-gram among the first n - ceil(t n) + 1 of either (and lie in
    the same or neighbouring classes of size), and a shared n-gram is a repeated one.  Documents with such
    n-grams are the only ones that can link; equal sets count once from here on.
-3. Sets that share such an n-gram are tied into families, families cut into blocks, and each pair of blocks of
-   a family is one piece of work: the sets go into a trie in one global order, and all sets of the other block
-   walk it together.  Overlap is counted once for each shared path, and a set leaves a subtree when even all of
-   the remaining length there could not make it similar.
-4. The links found (a spanning forest of each piece: no link between different sets is lost, but connected ones
+3. Each set is compared with one that shares such an n-gram with it, the one of the least id (its hub): most sets of a
+   group of near copies are linked by that alone.  An n-gram whose sets are all linked by now has nothing more to give.
+4. Sets that share any other such n-gram are tied into families.  In a family, the largest of the groups linked so far
+   is not compared within itself: blocks of the other sets meet blocks of all.  Each such pair of blocks, as each
+   hub with a block of its sets, is one piece of work: the sets go into a trie in one global order, and all sets of the
+   other block walk it together.  Overlap is counted once for each shared path, and a set leaves a subtree when even all
+   of the remaining length there could not make it similar.
+5. The links found (a spanning forest of each piece: no link between different sets is lost, but connected ones
    are not listed again) give components.
 
 The filter changes only the order, never what links: any one global order is exact.  N-grams and sets are told
@@ -17,7 +20,9 @@ apart by 64-bit digests.
 
 Defined cases: null or empty texts and texts without words have no n-gram and are components of their own;
 a text with fewer words than an n-gram has its whole word sequence as its only one; repeated rows are kept;
-a null doc_id never names a component while another id is in it; other columns are ignored.
+a null doc_id never names a component while another id is in it; rows with one doc_id are documents of their own; very long
+texts are read whole; other columns are ignored by near_groups and kept by keep_one_of_each, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.components import components
-from rowforge.llm.grouping import bound_batches, give_back, key_runs, shielded, tidy
+from rowforge.llm.components import anew, components
+from rowforge.llm.grouping import give_back, key_runs, shielded, tidy
 from rowforge.llm.wordhash import mix64, shingle_sets
-from rowforge.sources.staging import stage
+from rowforge.sources.staging import scope, stage
 
 FILTER_BITS, BLOCK_SETS, BLOCK_ELEMENTS, WIDE = 27, 96, 1 << 19, 32
 _U = np.uint64
@@ -268,36 +273,83 @@ def _joined(percent: int):
 
 def _grouped(docs: DataFrame, words: int, percent: int, filter_bits: int, block_sets: int, block_elements: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n and component_id of every row."""
-    spark = docs.sparkSession
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("mark"))
-    bound_batches(docs)
-    width, repeated, wide = frequency_filters(source, words, filter_bits)
-    repeated, wide = spark.sparkContext.broadcast(repeated), spark.sparkContext.broadcast(wide)
-    rows = stage(source.mapInArrow(tidy(_sets(words, percent, width, repeated, wide)), "doc_id long, mark long, n int, sid long, keys array<long>, elements binary"))
-    repeated.destroy()  # what they were for is staged
-    wide.destroy()
-    give_back()
-
-    keyed = rows.where("keys is not null").select("sid", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("far")).where("hub < far").select("key", "hub")
-    ties = keyed.join(hubs, "key").where("sid <> hub").select(F.col("sid").alias("u"), F.col("hub").alias("v"))
-    families = components(ties)
-    families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
-
-    sets = rows.where("elements is not null").select("sid", "n", "elements").join(families.withColumnRenamed("node", "sid"), "sid")
-    sets = stage(sets.dropDuplicates(["sid"]).withColumnRenamed("root", "family"))
-    extent = sets.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / block_elements)).cast("int").alias("blocks"))
-    placed = sets.join(extent, "family").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    pieces = placed.select("family", "block", "sid", "elements", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pieces = pieces.select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "sid", "elements")
+    with scope():
+        spark = docs.sparkSession
+        source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("mark"))
+        width, repeated, wide = frequency_filters(source, words, filter_bits)
+        repeated, wide = spark.sparkContext.broadcast(repeated), spark.sparkContext.broadcast(wide)
+        rows = stage(source.mapInArrow(tidy(_sets(words, percent, width, repeated, wide)), "doc_id long, mark long, n int, sid long, keys array<long>, elements binary"), keep=True)
+        repeated.destroy()  # what they were for is staged
+        wide.destroy()
+        give_back()
+
+        keyed = rows.where("keys is not null").select("sid", F.explode("keys").alias("key"))
+        hubs = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("far")).where("hub < far")
+        shared = stage(keyed.join(hubs.select(anew("key").alias("key"), "hub"), "key"))
+        sets = rows.where("elements is not null").select("sid", "n", "elements").join(shared.select("sid").distinct(), "sid", "left_semi")
+        sets = stage(sets.dropDuplicates(["sid"]))
+        near = components(_pieces_linked(_hub_pieces(sets, shared, block_sets, block_elements), percent))
+        open_ = stage(_open_ties(shared, near))
+        families = components(open_.where("sid <> hub").select(F.col("sid").alias("u"), F.col("hub").alias("v")))
+        families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
+        further = _pieces_linked(_family_pieces(sets, families, near, block_sets, block_elements), percent)
+        linked = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further))
+
+        own = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+        named = own.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        group = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        label = stage(named.select("sid", "root").join(group.select(anew("root").alias("root"), "component_id"), "root"), keep=True)
+        return rows.select("doc_id", "mark", "n", "sid").join(label, "sid", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def _pieces_linked(pieces: DataFrame, percent: int) -> DataFrame:
+    """The links (u, v) found in pieces of work: family, one, two (blocks), block (each row's), sid, elements."""
     work = pieces.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two", "sid")
-    linked = components(work.mapInArrow(tidy(_joined(percent)), "u long, v long"))
-
-    own = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    named = own.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    group = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.select("sid", "root").join(group, "root").select("sid", "component_id")
-    return rows.select("doc_id", "mark", "n", "sid").join(label, "sid", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    return work.mapInArrow(tidy(_joined(percent)), "u long, v long")
+
+
+def _blocks(sets: Column, size: Column, block_sets: int, block_elements: int) -> Column:
+    return F.ceil(F.greatest(sets / block_sets, size / block_elements)).cast("int")
+
+
+def _hub_pieces(sets: DataFrame, shared: DataFrame, block_sets: int, block_elements: int) -> DataFrame:
+    """Each hub with the blocks of those sets whose least hub it is.  Places are worked out first, and elements are sent after."""
+    first = shared.where("sid <> hub").groupBy("sid").agg(F.min("hub").alias("family"))
+    told = sets.select("sid", "n").join(first, "sid")
+    extent = told.groupBy("family").agg(_blocks(F.count("*"), F.sum("n"), block_sets, block_elements).alias("blocks"))
+    parts = told.join(extent.select(anew("family").alias("family"), "blocks"), "family").withColumn("two", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    hubs = extent.withColumn("two", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = F.lit(-1).alias("one")
+    places = parts.select("family", one, "two", F.col("two").alias("block"), "sid").unionByName(hubs.select("family", one, "two", F.lit(-1).alias("block"), F.col("family").alias("sid")))
+    return places.join(sets.select("sid", "elements"), "sid")
+
+
+def _open_ties(shared: DataFrame, near: DataFrame) -> DataFrame:
+    """sid, hub (the least id) of the n-grams whose sets are not all linked yet."""
+    told = shared.select("sid", "key").join(near.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "key", F.coalesce("root", "sid").alias("group"))
+    told = stage(told)
+    open_ = told.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min("sid").alias("hub")).where("low < high")
+    return told.join(open_.select(anew("key").alias("key"), "hub"), "key").select("sid", "hub").distinct()
+
+
+def _family_pieces(sets: DataFrame, families: DataFrame, near: DataFrame, block_sets: int, block_elements: int) -> DataFrame:
+    """Pairs of blocks of a family, but those within its largest group: asking blocks come first, that group's after them."""
+    told = sets.select("sid", "n").join(families.select(F.col("node").alias("sid"), F.col("root").alias("family")), "sid").join(near.withColumnRenamed("node", "sid"), "sid", "left")
+    told = stage(told.select("family", F.coalesce("root", "sid").alias("group"), "sid", "n"))
+    groups = told.groupBy("family", "group").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
+    most = F.max(F.struct("sets", "group", "size"))
+    extent = groups.groupBy("family").agg(most.alias("m"), F.sum("sets").alias("sets"), F.sum("size").alias("size"))
+    extent = extent.select(
+        "family", F.col("m.group").alias("largest"), _blocks(F.col("sets") - F.col("m.sets"), F.col("size") - F.col("m.size"), block_sets, block_elements).alias("asking"),
+        _blocks(F.col("m.sets"), F.col("m.size"), block_sets, block_elements).alias("held"),
+    )
+    placed = told.join(extent.select(anew("family").alias("family"), "largest", "asking", "held"), "family").withColumn("asks", F.col("group") != F.col("largest"))
+    spot = F.xxhash64("sid")
+    placed = placed.withColumn("block", F.when(F.col("asks"), F.pmod(spot, F.col("asking"))).otherwise(F.col("asking") + F.pmod(spot, F.col("held"))).cast("int"))
+    others = F.when(F.col("asks"), F.col("asking") + F.col("held")).otherwise(F.col("asking")) - 1
+    pieces = placed.select("family", "block", "sid", F.explode(F.sequence(F.lit(0), others)).alias("other"))
+    pieces = pieces.select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "sid")
+    return pieces.join(sets.select("sid", "elements"), "sid")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, filter_bits: int = FILTER_BITS, block_sets: int = BLOCK_SETS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
@@ -312,7 +364,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, filter_
     Rows without n-grams stay, but for repeated rows; rows with a null doc_id stay unless a row with an id has their text or group."""
     docs, renamed = shielded(docs, "doc_id", "text")
     rows = _grouped(docs, words, percent, filter_bits, block_sets, block_elements)
-    first = rows.groupBy("component_id", F.when(F.col("n") == 0, F.col("mark")).alias("lone"), F.when(F.col("component_id").isNull(), F.col("mark")).alias("nameless"))
+    first = rows.groupBy("root", F.when(F.col("n") == 0, F.struct("doc_id", "mark")).alias("lone"), F.when(F.col("component_id").isNull(), F.col("mark")).alias("nameless"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark"))
     kept = first.agg(least.alias("k")).select(_key(F.col("k.doc_id")).alias("_key"), F.col("k.mark").alias("_text_key"))
     keyed = docs.withColumns({"_key": _key(docs["doc_id"].cast("long")), "_text_key": F.xxhash64(docs["text"])})

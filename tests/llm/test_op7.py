@@ -97,3 +97,46 @@ def test_sets_are_exact():
         for a in range(0, 100, 7):
             for b in range(100):
                 assert len(np.intersect1d(got[a], got[b])) == len(want[a] & want[b])
+
+
+def test_near_copies_are_found(spark):
+    """Of pairs with some words changed, exactly those of 0.8 or more are joined; recall on lightly edited copies is whole."""
+    rng = random.Random(11)
+    rows, linked = [], 0
+    for k in range(120):
+        own = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(own)
+        for _ in range(k % 12):
+            other[rng.randrange(200)] = f"x{rng.randrange(5000)}"
+        a, b = gram_set(" ".join(own), 5), gram_set(" ".join(other), 5)
+        linked += 100 * len(a & b) >= 80 * len(a | b)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in op.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(120)) == linked > 50
+    assert all(got[2 * k + 1] == 2 * k for k in range(120) if k % 12 < 4)
+
+
+def test_groups_that_meet_in_a_few_sets(spark):
+    """Chains of families: most sets are linked to their hubs, and the links between such groups are found all the same."""
+    rng = random.Random(12)
+    rows, base = [], [f"b{k}" for k in range(90)]
+    for step in range(12):  # each group is a little further from the first
+        base = [w if rng.random() > 0.03 else f"s{step}_{k}" for k, w in enumerate(base)]
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(90)] = f"x{rng.randrange(30)}"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (96, 5):
+        assert sorted(map(tuple, op.near_groups(df, 3, 80, block_sets=size).collect()), key=str) == brute(rows, 3, 80)
+
+
+def test_one_id_for_unlike_texts_and_long_ones(spark):
+    """Rows with one doc_id and unrelated texts both stay; very long copies are one group; clashing columns are kept."""
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, "one text of a few words here"), (1, "quite another thing that is said"), (2, long), (3, f"{long} end"), (4, None)]
+    df = spark.createDataFrame([(i, t, 7, 8) for i, t in rows], "doc_id long, text string, root long, sid long")
+    kept = op.keep_one_of_each(df)
+    assert sorted((r.doc_id, (r.text or "")[:5], r.root, r.sid) for r in kept.collect()) == [(1, "one t", 7, 8), (1, "quite", 7, 8), (2, "w0 w1", 7, 8), (4, "", 7, 8)]
+    assert {r.doc_id: r.component_id for r in op.near_groups(df).collect()}[3] == 2
