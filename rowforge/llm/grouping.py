@@ -19,16 +19,6 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[
             yield batch.slice(a, rows)
 
 
-def bound_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Let Arrow batches hold `rows` rows at most from now on in the session of df.
-
-    A batch is held by the JVM and by Python at once, and whole texts are long: the default of 10,000 rows can take
-    hundreds of MB beside the heap.  A lower setting of the session is kept."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
-
-
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """run, giving freed memory back to the system after each partition: a worker lives on, idle, beside others."""
 

@@ -80,9 +80,9 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         row = past
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a block, and each text's offsets into them."""
-    starts, ends, at = _runs(data, offsets, apart)
+    starts, ends, at = _runs(data, offsets, _SPACE)
     return span_hashes(data, starts, ends), at
 
 
@@ -173,12 +173,3 @@ def _few_rows(blocks: Iterator, most: int = 1 << 15) -> Iterator:
 
 _LINE_END = np.arange(256) == 10
 _CAPITAL = (np.arange(256) >= 65) & (np.arange(256) < 91)
-
-
-def word_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """One sorted array of distinct word hashes a row; words are runs of ASCII letters, digits and other non-ASCII bytes."""
-    for row, past, data, offsets in text_blocks(column):
-        w, at = word_hashes(data, offsets, _SIGNS)
-        for d in range(past - row):
-            own = np.sort(w[at[d] : at[d + 1]])
-            yield own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) > 1 else own
