@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from rowforge.llm.grouping import batches_of, give_back, shielded, tidy
-from rowforge.llm.op4_toxicity import Features, training_sets
+from rowforge.llm.op4_toxicity import Features, counted, joined_features, training_sets
 from rowforge.llm.wordhash import feature_sets, text_blocks, word_hashes
 from rowforge.sources.staging import release, stage
 
@@ -57,8 +57,7 @@ def label_quality(labels: DataFrame) -> DataFrame:
 
 
 def _joined_features(sets: list[Features]) -> list[np.ndarray]:
-    """A text's marks of shape and its other features in one ascending array: marks are under 64."""
-    return [np.concatenate((m, s)) for s, m in sets]
+    return [joined_features(*own) for own in sets]
 
 
 @dataclass
@@ -92,24 +91,30 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit_domains(domains: np.ndarray, sets: list[np.ndarray], n_domains: int, max_features: int = MAX_FEATURES, steps: int = 300, penalty: float = 1e-4) -> DomainModel:
-    """Penalised multinomial regression on the features that tell domains apart best by likelihood ratio."""
+def parting(words: np.ndarray, joint: np.ndarray, totals: np.ndarray, max_features: int = MAX_FEATURES, least: int = 5) -> np.ndarray:
+    """Ascending features that tell domains apart best by likelihood ratio, beyond what chance gives among so many."""
+    seen, prior = joint.sum(1), (totals + 1) / (totals.sum() + len(totals))
+    if np.count_nonzero(totals) < 2:
+        return np.zeros(0, np.uint64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * np.nan_to_num(joint * np.log(joint / seen[:, None] / prior)).sum(1)
+    rank = np.where(seen >= least, gain, -1)
+    chosen = np.lexsort((words, -rank))[:max_features]
+    return np.sort(words[chosen[rank[chosen] > 2 * np.log(max(2, np.sum(seen >= least))) + 4]])
+
+
+def fit_domains(domains: np.ndarray, sets: list[np.ndarray], n_domains: int, steps: int = 300, penalty: float = 1e-4, chosen: np.ndarray | None = None) -> DomainModel:
+    """Penalised multinomial regression over chosen features (None: the parting ones)."""
     n = len(domains)
     prior = (np.bincount(domains, minlength=n_domains) + 1) / (n + n_domains)
-    if not n or len(np.unique(domains)) < 2 or not sum(map(len, sets)):
+    if chosen is None:
+        chosen = parting(*counted(domains, sets, n_domains), np.bincount(domains, minlength=n_domains))
+    if not len(chosen):
         return DomainModel(np.zeros(0, np.uint64), np.zeros((0, n_domains)), np.log(prior))
-    rows = np.repeat(np.arange(n), [len(s) for s in sets])
-    words, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    joint = np.stack([np.bincount(at, domains[rows] == d, len(words)) for d in range(n_domains)], 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * np.nan_to_num(joint * np.log(joint / seen[:, None] / prior)).sum(1)
-    rank = np.where(seen >= 5, gain, -1)
-    chosen = np.sort(np.lexsort((words, -rank))[:max_features])
-    chosen = chosen[rank[chosen] > 2 * np.log(max(2, np.sum(seen >= 5))) + 4]  # beyond what chance gives among so many
-    column = np.full(len(words), -1)
-    column[chosen] = np.arange(len(chosen))
-    used = column[at] >= 0
-    r, c = rows[used], column[at][used]
+    flat, rows = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    c = np.minimum(np.searchsorted(chosen, flat), len(chosen) - 1)
+    used = chosen[c] == flat
+    r, c = rows[used], c[used]
     truth = np.eye(n_domains)[domains]
     w, bias = np.zeros((len(chosen), n_domains)), np.log(prior)
     moment = square = np.zeros((len(chosen) + 1, n_domains))
@@ -119,16 +124,19 @@ def fit_domains(domains: np.ndarray, sets: list[np.ndarray], n_domains: int, max
         moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g**2
         move = 0.1 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return DomainModel(words[chosen], w, bias)
+    return DomainModel(chosen, w, bias)
 
 
 TEMPERATURES = 2.0 ** (np.arange(-4, 17) / 4)
 
 
-def fit_calibrated(domains: np.ndarray, sets: list[np.ndarray], n_domains: int) -> DomainModel:
-    """fit_domains on four fifths, with the temperature at which the rest's labels are likeliest (1 without enough of them)."""
-    rest = np.arange(len(domains)) % 5 == 0  # the rows come in the order of a hash
-    model = fit_domains(domains[~rest], [s for s, out in zip(sets, rest, strict=True) if not out], n_domains)
+HOLD_OUT = 5
+
+
+def fit_calibrated(domains: np.ndarray, sets: list[np.ndarray], n_domains: int, chosen: np.ndarray | None = None) -> DomainModel:
+    """fit_domains on all but every fifth, with the temperature at which those labels are likeliest (1 without enough of them)."""
+    rest = np.arange(len(domains)) % HOLD_OUT == 0  # the rows come in the order of a hash
+    model = fit_domains(domains[~rest], [s for s, out in zip(sets, rest, strict=True) if not out], n_domains, chosen=chosen)
     if len(model.hashes) and rest.sum() >= 20:
         x, own = model.logits([s for s, out in zip(sets, rest, strict=True) if out]), domains[rest]
         model.temperature = min(TEMPERATURES, key=lambda t: -np.log(np.maximum(_softmax(x / t)[np.arange(len(own)), own], 1e-12)).sum())
@@ -136,8 +144,8 @@ def fit_calibrated(domains: np.ndarray, sets: list[np.ndarray], n_domains: int)
 
 
 def _trained(docs: DataFrame, labelled: DataFrame, n_domains: int, train_rows: int) -> DomainModel:
-    domains, sets = training_sets(docs, labelled, train_rows)
-    model = fit_calibrated(domains, _joined_features(sets), n_domains)
+    own = training_sets(docs, labelled, parting, n_domains, train_rows, hold_out=HOLD_OUT)
+    model = fit_calibrated(own.grades, _joined_features(own.sets), n_domains, own.chosen)
     give_back()
     return model
 

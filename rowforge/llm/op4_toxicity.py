@@ -21,7 +21,7 @@ ignored by grade_documents and kept as they are, whatever their names, by drop_t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
@@ -33,12 +33,18 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from rowforge.llm.grouping import batches_of, give_back, shielded, tidy
 from rowforge.llm.wordhash import feature_sets
-from rowforge.sources.staging import release, stage
+from rowforge.sources.staging import scope, stage
 
-TRAIN_ROWS, TRAIN_FEATURES, MAX_FEATURES, GRADES, CHANCE, MARKS = 6_000, 1 << 23, 2_000, 3, 1.0, 80  # marks: 64 of shape, 16 of counts
+TRAIN_ROWS, TRAIN_FEATURES, MAX_FEATURES, GRADES, CHANCE, LEAST, MARKS = 6_000, 1 << 23, 2_000, 3, 1.0, 3, 80  # marks: 64 of shape, 16 of counts
+MARK_BASE = np.uint64(1 << 60)
 Features = tuple[np.ndarray, np.ndarray]
 
 
+def joined_features(words: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """A text's features in one ascending array: marks of shape come after the 48 bits of the others."""
+    return np.concatenate((words, marks + MARK_BASE))
+
+
 @dataclass
 class OrdinalModel:
     """hashes: ascending features; weights: theirs; thresholds: ascending, one fewer than grades; marks: a weight for each mark of shape."""
@@ -81,40 +87,44 @@ def severity(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
 
 
-def fit(grades: np.ndarray, sets: list[Features], n_grades: int = GRADES, max_features: int = MAX_FEATURES, steps: int = 500, penalty: float = 1e-5, least: int = 3, mark_penalty: float = 1e-4) -> OrdinalModel:
-    """Thresholds and shared weights by gradient steps on the penalised likelihood.
+def telling(words: np.ndarray, joint: np.ndarray, totals: np.ndarray, max_features: int = MAX_FEATURES) -> np.ndarray:
+    """Ascending features that tell graded from ungraded documents best by likelihood ratio, of those more frequent in graded ones,
+    down to where chance would give CHANCE such features among all that are tested; the bound does not depend on the best
+    one's.  joint: how many documents of each grade have a feature; totals: how many there are."""
+    n, bad, seen = totals.sum(), joint[:, 1:].sum(1), joint.sum(1)
+    tested = (seen >= LEAST) & (words < MARK_BASE)  # marks of shape are no words
+    share = totals[1:].sum() / max(1, n)
+    if not 0 < share < 1:
+        return np.zeros(0, np.uint64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * (np.nan_to_num(bad * np.log(bad / seen / share)) + np.nan_to_num((seen - bad) * np.log((1 - bad / seen) / (1 - share))))
+    bound = NormalDist().inv_cdf(1 - min(0.5, CHANCE / max(1, tested.sum())) / 2) ** 2  # of chi-square with one degree
+    rank = np.where(tested & (gain >= bound) & (bad > share * seen), gain, -1)
+    chosen = np.lexsort((words, -rank))[:max_features]
+    return np.sort(words[chosen[rank[chosen] > 0]])
+
+
+def counted(grades: np.ndarray, sets: list[np.ndarray], n_grades: int) -> tuple[np.ndarray, np.ndarray]:
+    """All features, ascending, and how many documents of each grade have them."""
+    flat, rows = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    words, at = np.unique(flat, return_inverse=True)
+    return words, np.stack([np.bincount(at, grades[rows] == k, len(words)) for k in range(n_grades)], 1).astype(np.int64)
+
 
-    Features are the words and beginnings that tell graded from ungraded documents best by likelihood ratio, down to where
-    chance would give CHANCE such features among all that are tested; the bound does not depend on the best one's.
-    Texts with the same features count once, with their commonest grade: copies prove nothing twice."""
-    alike: dict[tuple[bytes, bytes], list[int]] = {}
-    for k, (s, m) in enumerate(sets):
-        alike.setdefault((s.tobytes(), m.tobytes()), []).append(k)
-    sets = [sets[own[0]] for own in alike.values()]
-    grades = np.array([np.bincount(grades[own]).argmax() for own in alike.values()], np.int64)
+def fit(grades: np.ndarray, sets: list[Features], n_grades: int = GRADES, max_features: int = MAX_FEATURES, steps: int = 500, penalty: float = 1e-5, mark_penalty: float = 1e-4, chosen: np.ndarray | None = None) -> OrdinalModel:
+    """Thresholds and shared weights by gradient steps on the penalised likelihood, over chosen features (None: the telling ones)."""
     n = len(grades)
+    if chosen is None:
+        chosen = telling(*counted(grades, [s for s, _ in sets], n_grades), np.bincount(grades, minlength=n_grades), max_features)
     rates = np.array([(np.sum(grades >= j) + 0.5) / (n + 1) for j in range(1, n_grades)])
     base = np.log1p(-rates) - np.log(rates)
     base = np.maximum.accumulate(base + 1e-3 * np.arange(len(base)))
-    empty = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), base)
-    if not n or not 0 < np.sum(grades > 0) < n:
-        return empty
-    rows = np.repeat(np.arange(n), [len(s) for s, _ in sets])
-    words, at, seen = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True, return_counts=True)
-    bad = np.bincount(at, (grades[rows] > 0).astype(float), len(words))
-    share = np.sum(grades > 0) / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (np.nan_to_num(bad * np.log(bad / seen / share)) + np.nan_to_num((seen - bad) * np.log((1 - bad / seen) / (1 - share))))
-    bound = NormalDist().inv_cdf(1 - min(0.5, CHANCE / max(1, np.sum(seen >= least))) / 2) ** 2  # of chi-square with one degree
-    rank = np.where((seen >= least) & (gain >= bound) & (bad > share * seen), gain, -1)
-    chosen = np.sort(np.lexsort((words, -rank))[:max_features])
-    chosen = chosen[rank[chosen] > 0]
     if not len(chosen):
-        return empty
-    column = np.full(len(words), -1)
-    column[chosen] = np.arange(len(chosen))
-    used = column[at] >= 0
-    r, c = rows[used], column[at][used]
+        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), base)
+    flat, rows = np.concatenate([s for s, _ in sets]), np.repeat(np.arange(n), [len(s) for s, _ in sets])
+    c = np.minimum(np.searchsorted(chosen, flat), len(chosen) - 1)
+    used = chosen[c] == flat
+    r, c = rows[used], c[used]
     told = np.bincount(r, minlength=n)
     value = 1 / np.maximum(1, told)
     shaped = np.repeat(np.arange(n), [len(m) for _, m in sets])
@@ -140,33 +150,81 @@ def fit(grades: np.ndarray, sets: list[Features], n_grades: int = GRADES, max_fe
         move = 0.1 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
         w, v, theta = w - move[: len(w)], v - move[len(w) : -len(theta)], theta - move[-len(theta) :]
         theta = np.maximum.accumulate(theta + 1e-6 * np.arange(len(theta)))
-    return OrdinalModel(words[chosen], w, theta, v)
+    return OrdinalModel(chosen, w, theta, v)
 
 
-def training_sets(docs: DataFrame, graded: DataFrame, train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES) -> tuple[np.ndarray, list[Features]]:
-    """Grades and features of at most train_rows labelled documents; `graded` is cut to that many before it is broadcast."""
-    some = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches):
-            sets = list(feature_sets(batch.column(2)))
-            n = pa.array([len(s) for s, _ in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, *(pa.array([s[k].tobytes() for s in sets], pa.binary()) for k in (0, 1))], names=["doc_id", "grade", "n", "words", "marks"])
-
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(some), "doc_id")
-    found = own.select("doc_id", F.col("grade").cast("int").alias("grade"), "text").mapInArrow(tidy(run), "doc_id long, grade int, n int, words binary, marks binary")
-    rows = stage(found.groupBy("doc_id").agg(F.min(F.struct("n", "grade", "words", "marks")).alias("r")).select(F.xxhash64("doc_id").alias("place"), "doc_id", "r.*"))
-    order = sorted(tuple(r) for r in rows.select("place", "doc_id", "n").collect())
-    total = np.cumsum([n for *_, n in order])
-    last = order[: int(np.searchsorted(total, train_features, "right"))][-1:]
-    held = sorted(rows.where((F.col("place") < last[0][0]) | ((F.col("place") == last[0][0]) & (F.col("doc_id") <= last[0][1]))).collect(), key=lambda r: (r.place, r.doc_id)) if last else []
-    release(rows)
-    return np.array([r.grade for r in held], np.int64), [(np.frombuffer(r.words, np.uint64), np.frombuffer(r.marks, np.uint64)) for r in held]
+@dataclass
+class Training:
+    """grades and sets of labelled documents in the order of a hash of their ids, with chosen features (and all marks) only;
+    rest: which of them were held out of the choice."""
+
+    grades: np.ndarray
+    sets: list[Features]
+    chosen: np.ndarray
+    rest: np.ndarray
+
+
+def training_sets(docs: DataFrame, graded: DataFrame, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], n_grades: int, train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES, hold_out: int = 0) -> Training:
+    """At most train_rows labelled documents with train_features features in all; `graded` is cut to that many before it is broadcast.
+
+    Texts with the same features count once, with their commonest grade: copies prove nothing twice.  Features are counted
+    on the executors, by grade (marks of shape among them); `choose` is given those seen LEAST times or more, and only what it
+    chooses comes to the driver.  hold_out: every so-manieth document is left out of the counts."""
+    with scope():
+        some = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches_of(batches):
+                sets = list(feature_sets(batch.column(2)))
+                n = pa.array([len(s) for s, _ in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, *(pa.array([s[k].tobytes() for s in sets], pa.binary()) for k in (0, 1))], names=["doc_id", "grade", "n", "words", "marks"])
+
+        own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(some), "doc_id")
+        found = own.select("doc_id", F.col("grade").cast("int").alias("grade"), "text").mapInArrow(tidy(extract), "doc_id long, grade int, n int, words binary, marks binary")
+        rows = stage(found.groupBy("doc_id").agg(F.min(F.struct("n", "grade", "words", "marks")).alias("r")).select(F.xxhash64("doc_id").alias("place"), "doc_id", "r.*"))
+
+        order = sorted(tuple(r) for r in rows.select("place", "doc_id", "n", "grade", F.xxhash64("words", "marks")).collect())
+        order = order[: int(np.searchsorted(np.cumsum([r[2] for r in order]), train_features, "right"))]
+        alike: dict[int, list[tuple]] = {}
+        for r in order:
+            alike.setdefault(r[4], []).append(r)
+        held = [(same[0][1], int(np.bincount([r[3] for r in same]).argmax())) for same in alike.values()]
+        grades = np.array([g for _, g in held], np.int64)
+        rest = np.arange(len(held)) % hold_out == 0 if hold_out else np.zeros(len(held), bool)
+        known = {doc_id: (k, g, bool(out)) for k, ((doc_id, g), out) in enumerate(zip(held, rest, strict=True))}  # at most train_rows
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches_of(batches):
+                told = [known.get(i) for i in batch.column(0).to_pylist()]
+                take = [k for k, t in enumerate(told) if t and not t[2]]
+                parts = [joined_features(*(np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in (1, 2))) for k in take]
+                words, joint = counted(np.array([told[k][1] for k in take], np.int64), parts, n_grades)
+                yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), *(pa.array(joint[:, j]) for j in range(n_grades))], names=["word", *(f"g{j}" for j in range(n_grades))])
+
+        sums = rows.select("doc_id", "words", "marks").mapInArrow(tidy(count), "word long, " + ", ".join(f"g{j} long" for j in range(n_grades)))
+        sums = sums.groupBy("word").agg(*[F.sum(f"g{j}").alias(f"g{j}") for j in range(n_grades)])
+        often = sums.where(" + ".join(f"g{j}" for j in range(n_grades)) + f" >= {LEAST}").toArrow()
+        words = np.asarray(often.column(0)).astype(np.uint64)
+        joint = np.stack([np.asarray(often.column(1 + j)) for j in range(n_grades)], 1) if len(words) else np.zeros((0, n_grades), np.int64)
+        chosen = choose(words, joint, np.bincount(grades[~rest], minlength=n_grades))
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches_of(batches):
+                told = [known.get(i) for i in batch.column(0).to_pylist()]
+                take = [k for k, t in enumerate(told) if t]
+                sets = [np.frombuffer(batch.column(1)[k].as_py(), np.uint64) for k in take]
+                yield pa.RecordBatch.from_arrays([pa.array([told[k][0] for k in take], pa.int32()), pa.array([s[np.isin(s, chosen)].tobytes() for s in sets], pa.binary()), batch.column(2).take(pa.array(take, pa.int64()))], names=["k", "words", "marks"])
+
+        sets: list = [None] * len(held)
+        for r in rows.select("doc_id", "words", "marks").mapInArrow(tidy(keep), "k int, words binary, marks binary").collect():
+            sets[r.k] = (np.frombuffer(r.words, np.uint64), np.frombuffer(r.marks, np.uint64))
+        return Training(grades, sets, chosen, rest)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """A model of the labelled documents' severity."""
-    model = fit(*training_sets(docs, severity(labels), train_rows), max_features=max_features)
+    own = training_sets(docs, severity(labels), lambda *known: telling(*known, max_features), GRADES, train_rows)
+    model = fit(own.grades, own.sets, chosen=own.chosen)
     give_back()
     return model
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rowforge.llm import op4_toxicity as op
@@ -83,10 +84,40 @@ def test_long_and_repeated_texts(spark):
 
 
 def test_bounds_of_the_fit(spark):
-    """The labelled documents least by a hash, as many as the bounds allow; a repeated id gives one row."""
-    docs = spark.createDataFrame([(k % 40, f"word{k} other{k} third{k}") for k in range(80)], "doc_id long, text string")
+    """The labelled documents least by a hash, as many as the bounds allow; a repeated id gives one row, and copies count once."""
+    docs = spark.createDataFrame([(k % 40, f"word{k} other{k} third{k}") for k in range(80)] + [(k, "the same text") for k in range(50, 60)], "doc_id long, text string")
     graded = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, grade int")
-    grades, sets = op.training_sets(docs, graded, 30)
-    assert len(grades) == 30 and len(sets) == 30
-    fewer, some = op.training_sets(docs, graded, 30, sum(len(s) for s, _ in sets[:10]))
-    assert fewer.tolist() == grades[:10].tolist() and all((a[0] == b[0]).all() for a, b in zip(some, sets))
+    every = lambda words, joint, totals: np.sort(words)
+    own = op.training_sets(docs, graded, every, 2, 30)
+    assert len(own.grades) == 30 and len(own.sets) == 30 and not own.rest.any()
+    found = {}
+
+    def seen(words, joint, totals):
+        found.update(joint=dict(zip(words.tolist(), joint.tolist())), totals=totals.tolist())
+        return np.sort(words)
+
+    fewer = op.training_sets(docs, graded, seen, 2, 30, 20 * len(docs.columns), hold_out=4)
+    n = len(fewer.grades)
+    assert 0 < n < 30 and fewer.grades.tolist() == own.grades[:n].tolist() and fewer.rest.tolist() == [k % 4 == 0 for k in range(n)]
+    assert found["totals"] == np.bincount(fewer.grades[~fewer.rest], minlength=2).tolist()
+    marks = [m.tolist() for _, m in fewer.sets]
+    for word, joint in found["joint"].items():  # counts of marks are those of the documents not held out
+        if word >= int(op.MARK_BASE):
+            assert joint == [sum(word - int(op.MARK_BASE) in m for m, g, out in zip(marks, fewer.grades, fewer.rest) if g == k and not out) for k in range(2)]
+    copies = op.training_sets(docs, spark.createDataFrame([(k, int(k > 53)) for k in range(50, 60)], "doc_id long, grade int"), every, 2)
+    assert copies.grades.tolist() == [1]
+
+
+def test_choice_is_the_same_on_executors(spark):
+    """What the executors count and choose is what the plain fit chooses from whole sets."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = op.train(docs, labels)
+    rows = sorted(docs.join(op.severity(labels), "doc_id").select(op.F.xxhash64("doc_id").alias("h"), "doc_id", "grade", "text").collect())
+    sets = list(op.feature_sets(pa.array([r.text for r in rows])))
+    alike = {}
+    for r, s in zip(rows, sets):
+        alike.setdefault((s[0].tobytes(), s[1].tobytes()), []).append((r.grade, s))
+    plain = op.fit(np.array([np.bincount([g for g, _ in own]).argmax() for own in alike.values()]), [own[0][1] for own in alike.values()])
+    assert model.hashes.tolist() == plain.hashes.tolist() and len(plain.hashes) > 10
+    assert np.allclose(model.weights, plain.weights) and np.allclose(model.thresholds, plain.thresholds) and np.allclose(model.marks, plain.marks)
