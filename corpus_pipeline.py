@@ -10,10 +10,11 @@ from __future__ import annotations
 import public_tokenizers
 
 from rowforge.llm import op2_mixing, op4_toxicity, op7_jaccard, op8_secrets, op10_bpe
+from rowforge.sources.staging import release, scope
 from rowforge.sources.staging import stage as written
 
-#: Target shares of expected tokens (good, poor, toxic), and of all tokens kept: domains are only raised, so no document goes.
-MIX_TARGETS, MIX_BUDGET, MIX_LEAST = (0.90, 0.07, 0.03), 1.15, 1.0
+#: Target shares of expected tokens (good, poor), and how many of all tokens are wanted; toxic documents are gone by then.
+MIX_TARGETS, MIX_BUDGET = (0.94, 0.06), 1.0
 
 
 def toxicity(spark, docs, sf_dir):
@@ -32,9 +33,9 @@ def secrets(spark, docs, sf_dir):
 
 
 def mixing(spark, docs, sf_dir):
-    """All documents, those of domains below their target repeated."""
-    labelled = op2_mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op2_mixing.mix_documents(docs, labelled, list(MIX_TARGETS), MIX_BUDGET, low=MIX_LEAST)
+    """Documents as often as their rates say: the good domain is above one, the poor one below."""
+    labelled = op2_mixing.label_quality(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return op2_mixing.mix_documents(docs, labelled, list(MIX_TARGETS), MIX_BUDGET)
 
 
 def tokens(spark, docs, sf_dir):
@@ -50,5 +51,8 @@ def run(spark, sf_dir):
     """The rows of the last stage over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, step in STAGES[:-1]:
-        docs = written(step(spark, docs, sf_dir))
+        before = docs
+        with scope():  # what a stage has staged for itself goes once its result is written
+            docs = written(step(spark, docs, sf_dir), keep=True)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
