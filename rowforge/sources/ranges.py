@@ -2,7 +2,8 @@
 
 The table has a row for each cell of the key's span (cells are equal in width, as many as a few for each range), with the
 bounds that lie in it; a key finds its cell by an equi-join and its range by comparing with those bounds.  Ranges are at
-most MOST_RANGES, so bounds on the driver and the table are a few MB at most, however long the data.
+most MOST_RANGES, so bounds on the driver and the table are some 20 MB at most, however long the data; quantiles are those
+of SAMPLE_ROWS rows at most, as one task merges their sketches.  Ranges only deal out work: any bounds give the same results.
 
 A key that holds more than one range by itself (several quantiles are equal to it) is cut further by a hash, so that a
 hot or null key is no hot spot."""
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RANGES, HOT_ROWS = 1 << 16, 1000
+MOST_RANGES, HOT_ROWS, SAMPLE_ROWS = 1 << 16, 1000, 1 << 22
 LEAST = -(1 << 63)
 
 
@@ -79,8 +80,11 @@ def key_ranges(df: DataFrame, key: str, ranges: int, hot_rows: int = HOT_ROWS) -
     ranges = min(ranges, MOST_RANGES)
     if ranges < 2:
         return Ranges([], [], [0])
-    cuts = [k / ranges for k in range(1, ranges)]
-    quantiles, n = df.agg(F.percentile_approx(F.coalesce(F.col(key).cast("bigint"), F.lit(LEAST)), cuts, 20 * ranges), F.count("*")).first()
+    cuts, n = [k / ranges for k in range(1, ranges)], df.count()
+    some = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LEAST)).alias("k"))
+    if n > SAMPLE_ROWS:
+        some = some.sample(SAMPLE_ROWS / n, seed=1)
+    quantiles = some.agg(F.percentile_approx("k", cuts, 20 * ranges)).first()[0]
     seen = sorted(Counter(quantiles or []).items())
     parts = [m if m > 1 and (m - 1) * n >= hot_rows * ranges else 0 for _, m in seen]
     starts = [0]

@@ -130,6 +130,15 @@ def test_dense_index_over_ranges(spark):
         dense.ROWS_A_RANGE = rows
 
 
+def test_ranges_of_a_sample(spark, monkeypatch):
+    """Beyond SAMPLE_ROWS quantiles are those of a sample: ranges stay near equal, and a hot key is still cut."""
+    monkeypatch.setattr("rowforge.sources.ranges.SAMPLE_ROWS", 2000)
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 5000).otherwise(F.col("id")).alias("k"), "id")
+    cut = key_ranges(df, "k", 20)
+    sizes = Counter(r.r for r in cut.place(df, "k", "r", F.xxhash64("id")).collect())
+    assert sum(sizes.values()) == 20_000 and len(sizes) > 15 and max(sizes.values()) < 2500
+
+
 @pytest.mark.parametrize("kind", ["even", "skewed", "hot", "wide"])
 @pytest.mark.parametrize("ranges", [1, 2, 40, 400])
 def test_ranges_keep_order(spark, kind, ranges):
