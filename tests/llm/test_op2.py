@@ -92,3 +92,16 @@ def test_cases(spark):
         out = op.mix_documents(docs, labelled, [0.6, 0.3, 0.1], 1.2, low=1.0)
         assert out.columns == docs.columns and out.count() >= 5
     assert op.mixing_rates(docs.limit(0), labelled, [1, 1, 1]).count() == 0
+
+
+def test_values_of_edge_cases(spark):
+    """Null and empty texts have no tokens, the prior's posteriors and the rate one; a very long text counts every word; copies follow rates."""
+    long = "calm water " * 60_000
+    rows = [(k, "good words here and more" if k % 2 else "bad sort of it $$$") for k in range(60)]
+    docs = spark.createDataFrame([*rows, (100, None), (101, ""), (102, long), (None, "good words"), (103, " \n ")], "doc_id long, text string").withColumn("_rate", op.F.lit(9)).withColumn("copies", op.F.lit("x"))
+    labelled = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id long, grade int")
+    got = {r.doc_id: r for r in op.mixing_rates(docs, labelled, [0.5, 0.5]).collect()}
+    assert [got[k].n_tokens for k in (100, 101, 102, 103, None)] == [0, 0, 120_000, 0, 2]
+    assert got[100].rate == got[101].rate == got[103].rate == 1.0 and got[100].posteriors == got[101].posteriors
+    assert sum(got[100].posteriors) == pytest.approx(1) and got[1].posteriors[0] > 0.9 > 0.1 > got[0].posteriors[0]
+    assert all(abs(r.copies - r.rate) < 1 for r in got.values())
