@@ -56,15 +56,15 @@ def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """For k = 0, 1, ... each message's ancestor 2**k above (conv_id, node, far), if it has one; and each message's path_score, from it to its root."""
     links = messages.select("conv_id", "node", F.col("parent").alias("far"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("path_score"))
     known = links.select("conv_id", F.col("node").alias("far"), F.col("far").isNull().alias("_known"))
-    now = stage(links.join(known, ["conv_id", "far"], "left").select("conv_id", "node", F.when(F.col("_known").isNotNull(), F.col("far")).alias("far"), "path_score"))
-    jumps = []
+    rows = stage(links.join(known, ["conv_id", "far"], "left").select("conv_id", "node", F.when(F.col("_known").isNotNull(), F.col("far")).alias("far"), "path_score"))
+    settled, climbing, jumps = rows.where("far is null"), rows.where("far is not null"), []
     for _ in range(MOST_ROUNDS):
-        jump = now.where("far is not null").select("conv_id", "node", "far")
-        if jump.isEmpty():
-            return jumps, now.select("conv_id", "node", "path_score")
-        jumps.append(jump)
-        above = now.select("conv_id", F.col("node").alias("far"), F.col("far").alias("top"), F.col("path_score").alias("more"))
-        now = stage(now.join(above, ["conv_id", "far"], "left").select("conv_id", "node", F.col("top").alias("far"), (F.col("path_score") + F.coalesce("more", F.lit(0.0))).alias("path_score")))
+        if climbing.isEmpty():
+            return jumps, settled.select("conv_id", "node", "path_score")
+        jumps.append(climbing.select("conv_id", "node", "far"))
+        above = settled.unionByName(climbing).select("conv_id", F.col("node").alias("far"), F.col("far").alias("top"), F.col("path_score").alias("more"))
+        rows = stage(climbing.join(above, ["conv_id", "far"]).select("conv_id", "node", F.col("top").alias("far"), (F.col("path_score") + F.col("more")).alias("path_score")))
+        settled, climbing = settled.unionByName(rows.where("far is null")), rows.where("far is not null")
     raise ValueError("a message is its own ancestor")
 
 
