@@ -97,7 +97,7 @@ def test_cases(spark):
 def test_values_of_edge_cases(spark):
     """Null and empty texts have no tokens, the prior's posteriors and the rate one; a very long text counts every word; copies follow rates."""
     long = "calm water " * 60_000
-    rows = [(k, "good words here and more" if k % 2 else "bad sort of it $$$") for k in range(60)]
+    rows = [(k, f"good words here and more than{k}" if k % 2 else f"bad sort of it as{k}") for k in range(60)]
     docs = spark.createDataFrame([*rows, (100, None), (101, ""), (102, long), (None, "good words"), (103, " \n ")], "doc_id long, text string").withColumn("_rate", op.F.lit(9)).withColumn("copies", op.F.lit("x"))
     labelled = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id long, grade int")
     got = {r.doc_id: r for r in op.mixing_rates(docs, labelled, [0.5, 0.5]).collect()}
