@@ -1,6 +1,7 @@
 """Groups of documents joined by links of n-gram Jaccard similarity, found by a prefix-tree join.
 
-1. Document frequencies of all n-grams are counted; those seen twice or more set bits of a filter of fixed size.
+1. Of equal texts one is kept for what follows: copies add nothing to frequencies and their n-grams go nowhere twice.
+   Document frequencies of all n-grams are counted; those seen twice or more set bits of a filter of fixed size.
 2. Each document's n-grams are ordered: unrepeated ones, repeated ones, widely repeated ones, then by hash.
    Two sets that are similar enough share an n-gram among the first n - ceil(t n) + 1 of either (and lie in
    the same or neighbouring classes of size), and a shared n-gram is a repeated one.  Documents with such
@@ -36,9 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.llm.components import anew, components
-from rowforge.llm.grouping import give_back, key_runs, shielded, tidy
+from rowforge.llm.grouping import batches_of, give_back, key_runs, shielded, tidy
 from rowforge.llm.wordhash import mix64, shingle_sets
-from rowforge.sources.staging import scope, stage
+from rowforge.sources.staging import forget, release, scope, stage
 
 FILTER_BITS, BLOCK_SETS, BLOCK_ELEMENTS, WIDE = 27, 96, 1 << 19, 32
 _U = np.uint64
@@ -134,26 +135,23 @@ def size_class(n: int, percent: int) -> int:
     return int(math.log(n) / -math.log((percent - 0.5) / 100))
 
 
-def _sets(words: int, percent: int, filter_bits: int, repeated, wide):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, widely, sent = repeated.value, wide.value, set()
-        shift = _U(64 - filter_bits)
-
-        def hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-            at = (h >> shift).astype(np.int64)
-            return bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+def _sets(words: int, percent: int, filter_bits: int, repeated, wide, group: int = 1 << 20):
+    """(mark, text) batches to mark, n, sid, and of sets that may link: keys and elements."""
 
-        for batch in batches:
-            for part in range(0, batch.num_rows, 1000):
-                some, sizes, sids, keys, elements = batch.slice(part, 1000), [], [], [], []
-                for own in shingle_sets(some.column(1), words):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for marks, sets in _some_sets(batches, words, group):
+            classes = _classes(sets, filter_bits, repeated, wide)
+            for part in range(0, len(sets), 250):
+                sizes, sids, keys, elements = [], [], [], []
+                for own, again in zip(sets[part : part + 250], classes[part : part + 250], strict=True):
                     n = len(own)
                     sid = int((mix64(own ^ _U(0x5BD1E995)).sum() + mix64(np.array([n], np.uint64)))[0].astype(np.int64)) if n else 0
                     key = None
                     if n and sid not in sent:
-                        prefix, again = n - -(-percent * n // 100) + 1, hit(common, own)
-                        if n - int(again.sum()) < prefix:
-                            order = np.lexsort((own, again + hit(widely, own)))[:prefix]
+                        prefix = n - -(-percent * n // 100) + 1
+                        if int((again == 0).sum()) < prefix:
+                            order = np.lexsort((own, again))[:prefix]
                             shared = own[order][again[order] > 0]
                             c = size_class(n, percent)
                             key = np.concatenate([mix64(shared + _U((c + k) * 0x9E3779B97F4A7C15 % (1 << 64))) for k in (0, 1)]).astype(np.int64)
@@ -164,11 +162,35 @@ def _sets(words: int, percent: int, filter_bits: int, repeated, wide):
                     sids.append(sid)
                     keys.append(key)
                     elements.append(own.tobytes() if key is not None else None)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(elements, pa.binary())], names=["doc_id", "mark", "n", "sid", "keys", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(marks[part : part + 250]), pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(elements, pa.binary())], names=["mark", "n", "sid", "keys", "elements"])
 
     return run
 
 
+def _some_sets(batches: Iterator[pa.RecordBatch], words: int, group: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(marks, sets) of rows in order, some `group` n-grams at a time."""
+    marks, sets, n = [], [], 0
+    for batch in batches_of(batches, 250):
+        marks.append(np.array(batch.column(0)))  # a copy: the batch may go
+        sets += shingle_sets(batch.column(1), words)
+        n += sum(map(len, sets[-batch.num_rows :]))
+        if n >= group:
+            yield np.concatenate(marks), sets
+            marks, sets, n = [], [], 0
+    if sets:
+        yield np.concatenate(marks), sets
+
+
+def _classes(sets: list[np.ndarray], filter_bits: int, repeated, wide) -> list[np.ndarray]:
+    """Of each set's n-grams: 0 for unrepeated ones, 1 for repeated, 2 for widely repeated ones."""
+    flat = np.concatenate(sets)
+    out = np.zeros(len(flat), np.uint8)
+    at = (flat >> _U(64 - filter_bits)).astype(np.int64)
+    for bits in (repeated.value, wide.value):
+        out += bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+    return np.split(out, np.cumsum([len(own) for own in sets])[:-1])
+
+
 # --- the trie ---------------------------------------------------------------------------------------------
 
 
@@ -276,18 +298,27 @@ def _grouped(docs: DataFrame, words: int, percent: int, filter_bits: int, block_
     with scope():
         spark = docs.sparkSession
         source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("mark"))
-        width, repeated, wide = frequency_filters(source, words, filter_bits)
+        texts = stage(source.where("text is not null").select("mark", "text").dropDuplicates(["mark"]))
+        forget(spark)
+        width, repeated, wide = frequency_filters(texts, words, filter_bits)
         repeated, wide = spark.sparkContext.broadcast(repeated), spark.sparkContext.broadcast(wide)
-        rows = stage(source.mapInArrow(tidy(_sets(words, percent, width, repeated, wide)), "doc_id long, mark long, n int, sid long, keys array<long>, elements binary"), keep=True)
+        found = stage(texts.mapInArrow(tidy(_sets(words, percent, width, repeated, wide)), "mark long, n int, sid long, keys array<long>, elements binary"))
         repeated.destroy()  # what they were for is staged
         wide.destroy()
         give_back()
+        release(texts)
+        named = source.select("doc_id", "mark").join(found.select("mark", "n", "sid"), "mark", "left")
+        rows = stage(named.select("doc_id", "mark", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sid", F.lit(0).cast("long")).alias("sid")), keep=True)
+        forget(spark)
 
-        keyed = rows.where("keys is not null").select("sid", F.explode("keys").alias("key"))
+        keyed = found.where("keys is not null").select("sid", F.explode("keys").alias("key"))
         hubs = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("far")).where("hub < far")
         shared = stage(keyed.join(hubs.select(anew("key").alias("key"), "hub"), "key"))
-        sets = rows.where("elements is not null").select("sid", "n", "elements").join(shared.select("sid").distinct(), "sid", "left_semi")
+        forget(spark)
+        sets = found.where("elements is not null").select("sid", "n", "elements").join(shared.select("sid").distinct(), "sid", "left_semi")
         sets = stage(sets.dropDuplicates(["sid"]))
+        release(found)
+        forget(spark)
         near = components(_pieces_linked(_hub_pieces(sets, shared, block_sets, block_elements), percent))
         open_ = stage(_open_ties(shared, near))
         families = components(open_.where("sid <> hub").select(F.col("sid").alias("u"), F.col("hub").alias("v")))

@@ -140,3 +140,22 @@ def test_one_id_for_unlike_texts_and_long_ones(spark):
     kept = op.keep_one_of_each(df)
     assert sorted((r.doc_id, (r.text or "")[:5], r.root, r.sid) for r in kept.collect()) == [(1, "one t", 7, 8), (1, "quite", 7, 8), (2, "w0 w1", 7, 8), (4, "", 7, 8)]
     assert {r.doc_id: r.component_id for r in op.near_groups(df).collect()}[3] == 2
+
+
+def test_copies_send_no_elements(spark, monkeypatch):
+    """Exact copies, rows repeated whole among them, are no evidence of n-grams shared with other texts: nothing of them is written."""
+    rng, sent = random.Random(13), []
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(50)) for _ in range(12)]
+    rows = [(k % 100, texts[k % 12]) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+    def noted(frame, keep=False, real=op.stage):
+        out = real(frame, keep)
+        if "elements" in out.columns:
+            sent.append(out.where("elements is not null").count())
+        return out
+
+    monkeypatch.setattr(op, "stage", noted)
+    got = {(r.n_shingles, r.component_id) for r in op.near_groups(df, 3, 90).collect()}
+    assert got == {(48, min(i for i, t in rows if t == text)) for text in texts}
+    assert sent and set(sent) == {0}
