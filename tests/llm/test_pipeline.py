@@ -4,7 +4,7 @@ import corpus_pipeline
 import public_tokenizers as P
 import numpy as np
 
-from rowforge.llm import op10_bpe
+from rowforge.llm import op7_jaccard, op10_bpe
 from tests.llm.test_op7 import brute
 from tests.llm.test_op8 import base
 
@@ -68,3 +68,20 @@ def test_nulls_and_empty_tables_end_to_end(spark, tmp_path):
                 assert {r.text for r in out.collect() if r.doc_id == 4} == {"[SECRET]"}
             now = out
         assert corpus_pipeline.run(spark, sf).count() == now.count()
+
+
+def test_near_duplicates_sends_nothing_of_exact_copies(spark, monkeypatch):
+    """One row of each text stays, and copies alone make no text a candidate."""
+    sent = []
+    texts = [" ".join(f"t{t}w{k}" for k in range(40)) for t in range(8)]
+    docs = spark.createDataFrame([(k, texts[k % 8], 1) for k in range(160)], "doc_id long, text string, n_chars long").repartition(5)
+
+    def noted(frame, keep=False, real=op7_jaccard.stage):
+        out = real(frame, keep)
+        if "elements" in out.columns:
+            sent.append(out.where("elements is not null").count())
+        return out
+
+    monkeypatch.setattr(op7_jaccard, "stage", noted)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(8))
+    assert sent and set(sent) == {0}
