@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.llm.components import anew, components
-from rowforge.llm.grouping import batches_of, give_back, key_runs, shielded, tidy
+from rowforge.llm.grouping import batches_of, give_back, key_runs, shielded, small_batches, tidy
 from rowforge.llm.wordhash import mix64, shingle_sets
 from rowforge.sources.staging import forget, release, scope, stage
 
@@ -48,7 +48,7 @@ _U = np.uint64
 # --- document frequencies ---------------------------------------------------------------------------------
 
 
-def _counted(words: int, part_bits: int, chunk: int = 1 << 21):
+def _counted(words: int, part_bits: int, chunk: int = 1 << 20):
     """Text batches to (part, once, often, times): n-grams by the part their first bits name, 32 more bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def size_class(n: int, percent: int) -> int:
     return int(math.log(n) / -math.log((percent - 0.5) / 100))
 
 
-def _sets(words: int, percent: int, filter_bits: int, repeated, wide, group: int = 1 << 20):
+def _sets(words: int, percent: int, filter_bits: int, repeated, wide, group: int = 1 << 18):
     """(mark, text) batches to mark, n, sid, and of sets that may link: keys and elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +295,8 @@ def _joined(percent: int):
 
 def _grouped(docs: DataFrame, words: int, percent: int, filter_bits: int, block_sets: int, block_elements: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n and component_id of every row."""
-    with scope():
-        spark = docs.sparkSession
+    spark = docs.sparkSession
+    with scope(), small_batches(spark):
         source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("mark"))
         texts = stage(source.where("text is not null").select("mark", "text").dropDuplicates(["mark"]))
         forget(spark)

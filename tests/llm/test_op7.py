@@ -159,3 +159,40 @@ def test_copies_send_no_elements(spark, monkeypatch):
     got = {(r.n_shingles, r.component_id) for r in op.near_groups(df, 3, 90).collect()}
     assert got == {(48, min(i for i, t in rows if t == text)) for text in texts}
     assert sent and set(sent) == {0}
+
+
+def test_batches_are_small_and_the_setting_stays(spark, monkeypatch, tmp_path):
+    """What goes to Python at once is some hundred rows, not a task's whole partition; the session's own settings hold after, and lower ones inside."""
+
+    def noted(make):
+        def made(*a, **k):
+            run = make(*a, **k)
+
+            def wrapped(batches):
+                def seen():
+                    for batch in batches:
+                        (tmp_path / f"{batch.num_rows}").touch()
+                        yield batch
+
+                yield from run(seen())
+
+            return wrapped
+
+        return made
+
+    for name in ("_counted", "_sets"):
+        monkeypatch.setattr(op, name, noted(getattr(op, name)))
+    rows, key = [(k, f"a{k} b{k} c{k} d{k}") for k in range(3000)], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    given, most = dict(spark.conf.getAll), spark.conf.get(key)
+    assert op.near_groups(df, 3, 90).where("component_id = doc_id").count() == 3000
+    assert dict(spark.conf.getAll) == given and spark.conf.get(key) == most
+    assert 100 < max(int(p.name) for p in tmp_path.iterdir()) <= 500
+    for p in tmp_path.iterdir():
+        p.unlink()
+    spark.conf.set(key, "70")
+    try:
+        assert op.near_groups(df, 3, 90).count() == 3000 and spark.conf.get(key) == "70"
+    finally:
+        spark.conf.unset(key)
+    assert max(int(p.name) for p in tmp_path.iterdir()) == 70
